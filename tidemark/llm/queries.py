@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, simhash, urlrules
+from . import chat, decontaminate, mixing, simhash, urlrules
 
 QUERIES = {
     "op3_mixing": mixing.query,
     "op4_url_rules": urlrules.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
     "op4_url_rules": urlrules.SQL,
+    "op7_decontaminate": decontaminate.SQL,
     "op8_chat": chat.SQL,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, simhash, urlrules
+from . import chat, decontaminate, mixing, quality, simhash, urlrules
 
 QUERIES = {
     "op3_mixing": mixing.query,
     "op4_url_rules": urlrules.query,
+    "op6_quality": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, simhash, tokenstore, urlrules
+from . import chat, decontaminate, mixing, neighbours, quality, simhash, tokenstore, urlrules
 
 QUERIES = {
     "op1_tokenstore": tokenstore.query,
+    "op2_neighbours": neighbours.query,
     "op3_mixing": mixing.query,
     "op4_url_rules": urlrules.query,
     "op6_quality": quality.query,

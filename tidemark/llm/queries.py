@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neighbours, quality, simhash, tokenstore, urlrules
+from . import chat, decontaminate, mixing, neighbours, quality, simhash, suffixdedup, tokenstore, urlrules
 
 QUERIES = {
     "op1_tokenstore": tokenstore.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,
+    "op10_suffix_dedup": suffixdedup.query,
 }
 SQL = {
     "op3_mixing": mixing.SQL,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neighbours, quality, simhash, suffixdedup, tokenstore, urlrules
+from . import chat, decontaminate, mixing, neighbours, pseudolikelihood, quality, simhash, suffixdedup, tokenstore, urlrules
 
 QUERIES = {
     "op1_tokenstore": tokenstore.query,
     "op2_neighbours": neighbours.query,
     "op3_mixing": mixing.query,
     "op4_url_rules": urlrules.query,
+    "op5_pseudolikelihood": pseudolikelihood.query,
     "op6_quality": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_chat": chat.query,

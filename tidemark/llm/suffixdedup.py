@@ -204,7 +204,10 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, held: list[
     o = owner[w]
     by = np.lexsort((lo[o] + offset[w], at[o] >> 48, doc[o], run))  # in a run the earliest first
     w, run = w[by], run[by]
-    dup = np.sort(w[np.append(False, run[1:] == run[:-1])])
+    o = owner[w]
+    # a row that was read twice is no repeat of itself: only other places than a run's first count
+    head = np.repeat(np.flatnonzero(~_same(run)), np.unique(run, return_counts=True)[1])
+    dup = np.sort(w[(doc[o] != doc[o[head]]) | (at[o] >> 48 != at[o[head]] >> 48) | (lo[o] + offset[w] != lo[o[head]] + offset[w[head]])])
     if not dup.size:
         return dup, dup
     start = np.flatnonzero(np.append(True, (np.diff(dup) != 1) | (np.diff(owner[dup]) != 0)))

@@ -150,7 +150,7 @@ def resume_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_worklist(spark: SparkSession, d: str) -> DataFrame:
-    assets = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey < 3").select("c_custkey")
+    assets = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
     return calendar.work_list(assets, calendar.month_ranges(spark, "2024-11", "2025-02", ZONE).select("year", "month"))
 
 
@@ -262,7 +262,7 @@ _PAGES = f"""{CUSTOMERS}, pages AS (SELECT n, id, label, name, c_nationkey, unne
 assets AS (SELECT page, n, id, coalesce(nullif(label, ''), nullif(name, ''), id) AS label, coalesce(nullif(name, ''), nullif(label, ''), id) AS name FROM pages WHERE c_nationkey <> 0)"""
 _CELLS = r"""cells AS (SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 'epoch_s' WHEN 'purchase' THEN 'epoch_ms' WHEN 'view' THEN 'string' ELSE 'epoch_us' END AS strategy,
   CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN -1 ELSE epoch_us(ts) // 1000000 END AS epoch_s FROM events)"""
-_WORK = """work AS (SELECT c_custkey, year, month FROM customer, (VALUES (2024, 11), (2024, 12), (2025, 1), (2025, 2)) AS m(year, month) WHERE c_nationkey < 3)"""
+_WORK = """work AS (SELECT c_custkey, year, month FROM customer, (VALUES (2024, 11), (2024, 12), (2025, 1), (2025, 2)) AS m(year, month))"""
 
 SQL: dict[str, str] = {
     "integrity_summary": f"""WITH {_SERIES}, {_GAPS.format(rows='hourly')},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,12 @@ def write_wide(wide: DataFrame, path: str, group: str, overwrite: bool = False)
     writer.partitionBy(*LAYOUT).csv(path, header=True)
 
 
-def written(spark, path: str) -> DataFrame:
-    """group, asset, year, month of what is there, from the folders' names alone."""
-    return spark.read.option("header", True).csv(path).select(*LAYOUT).distinct()
+def written(spark, path: str) -> DataFrame | None:
+    """group, asset, year, month of what is there, from the folders' names alone; None without the folder."""
+    try:
+        return spark.read.option("header", True).csv(path).select(*LAYOUT).distinct()
+    except AnalysisException:
+        return None
 
 
 def write_long(points: DataFrame, path: str) -> None:

@@ -48,23 +48,18 @@ def statistics(text: Column) -> dict[str, Column]:
         lambda s, w: F.struct(w.alias("last"), (s["n"] + (s["last"] == w).cast("int")).alias("n")),
     )["n"]
     return {
-        "words": F.log1p(F.size(words).cast("double")),
-        "word_chars": chars / n,
         "distinct_words": F.size(F.array_distinct(words)) / n,
         "same_as_last": again / n,
         "same_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)).cast("double"),
-        "line_words": n / F.greatest(F.size(lines), F.lit(1)).cast("double"),
         "marks": of_class(r"[%&#$*@^~<>{}=_\\\[\]]") / chars,
         "capitals": of_class(r"\p{Lu}") / chars,
-        "digits": of_class("[0-9]") / chars,
         "bars": single("|") / n,
         "shouts": single("!") / n,
-        "stops": single(".") / n,
-        "commas": single(",") / n,
     }
 
 
-NAMES = tuple(("words", "word_chars", "distinct_words", "same_as_last", "same_lines", "line_words", "marks", "capitals", "digits", "bars", "shouts", "stops", "commas"))
+#: Signs of repetition and of junk; lengths and ordinary punctuation are left out, for clean texts differ in them.
+NAMES = ("distinct_words", "same_as_last", "same_lines", "marks", "capitals", "bars", "shouts")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -119,7 +114,9 @@ def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], r
 
 def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Rule]:
     rng = np.random.default_rng(seed)
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, CUTS + 1)[:-1], method="lower")) for c in x.T]
+    # cuts at quantiles of the rows, and of the values that occur, so that rare values are told apart too
+    at = np.linspace(0, 1, CUTS + 1)[:-1]
+    cuts = [np.unique([np.quantile(v, at, method="lower") for v in (c, np.unique(c))]) for c in x.T]
     f, paths = np.zeros(len(y)), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-f))

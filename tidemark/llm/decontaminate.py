@@ -26,6 +26,7 @@ items without words match nothing; an empty benchmark leaves all clean.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -129,12 +130,13 @@ def gram_keys(ids: np.ndarray, g: int) -> np.ndarray:
     return key
 
 
-def _groups(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
+def _groups(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The number of groups and each group in turn; one is held at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + size // (2 * MAX_GROUP_WORDS)  # a word and its end are two characters at least
     part = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r["item"], r["text"]) for r in part.where(F.col("part") == i).toLocalIterator()] for i in range(n)]
+    return n, ([(r["item"], r["text"]) for r in part.where(F.col("part") == i).toLocalIterator()] for i in range(n))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -146,7 +148,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     fields = [*docs.columns]
     rows = docs.select(F.struct(*fields).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                        F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    groups = _groups(benchmark)
+    n_groups, groups = _groups(benchmark)
     for i, items in enumerate(groups):
         listed = Windows(items, window, shingle)
         held = spark.sparkContext.broadcast(listed)
@@ -166,7 +168,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
             counts[r["k"]] = r["n"]
         listed.take_prefixes(counts)
         held.unpersist()
-        out = fields if i + 1 < len(groups) else keep or fields
+        out = fields if i + 1 < n_groups else keep or fields
         schema = T.StructType([T.StructField("doc", T.StructType([docs.schema[c] for c in out]))] + T._parse_datatype_string(JUDGED).fields)
         rows = rows.mapInArrow(_judge(spark.sparkContext.broadcast(listed), out), schema)
     return rows

@@ -7,6 +7,7 @@ and executors share.  A lost executor therefore never loses one of them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Bytes that go to a Python worker at once, whatever the number or length of the rows.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in bytes: what a task holds does not grow with the texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import in_batches, saved, table
 from .components import connected_components
 
 SHINGLE, DISTANCE, BLOCKS, SEED = 3, 2, 8, 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return in_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -88,7 +88,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     roots = saved(connected_components(links(least, distance, blocks)), "roots")
     ids = roots.join(least, roots["node"] == least["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    per = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written first, so that the join with all rows has plain inputs and Spark may split a hot fingerprint
+    per = saved(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return fps.join(per, "fp").select("doc_id", "fp", "component_id")
 
 

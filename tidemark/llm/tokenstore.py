@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import in_batches, shared_dir, table
 
 END_ID, SHARD_TOKENS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 0, 1 << 19, 4, 2048, 8
 CACHE_UNITS = 400_000
@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             yield pa.RecordBatch.from_pylist([_shard(part, number, names, ids, enc.size, rounds)], ARROW)
 
     order = ("doc_id", F.xxhash64("text"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    rows = in_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 

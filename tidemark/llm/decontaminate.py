@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_batches, table
 
 WINDOW, SHINGLE, SHARE = 13, 5, 20
 MAX_GROUP_WORDS = 1_000_000
@@ -144,7 +144,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
 
     ``spans`` holds start and end of each maximal run of hit words, one after the other.
     """
-    spark = docs.sparkSession
+    spark = in_batches(docs).sparkSession
     fields = [*docs.columns]
     rows = docs.select(F.struct(*fields).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                        F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))

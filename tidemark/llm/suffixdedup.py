@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import in_batches, saved, table
 from .suffixsort import common_prefixes, suffix_order
 
 LENGTH, GRAM = 100, 32
@@ -304,7 +304,7 @@ def repeats(named: DataFrame, hot: int = HOT) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept of each row."""
-    named = _named(docs)
+    named = _named(in_batches(docs))
     gone = repeats(named, hot).groupBy(_key().alias("key")).agg(F.collect_list("at").alias("ats"))
     texts = named.select("doc_id", "key", "text").mapInArrow(_packed_texts, "doc_id long, key string, z binary")
     rows = texts.join(gone, "key", "left").select("doc_id", "z", "ats")

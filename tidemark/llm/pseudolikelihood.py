@@ -30,10 +30,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_batches, table
 from .decontaminate import words_of
 
 TOP, BUCKETS, CLASSES = 3584, 512, 64
@@ -42,6 +42,8 @@ SIZE = IDS // CLASSES
 SIDE, EMBED, HIDDEN = 2, 8, 24
 ROUNDS, STEP, RATE, SEED = 1, 16_384, 0.1, 5
 SHAPES = {"embed": (IDS + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, SIZE), "bw": (CLASSES, SIZE)}
+#: Words that a task counts before it gives them out; lots of tasks whose most frequent words are merged.
+COUNTED, LOTS = 500_000, 64
 #: Weights are averaged in pieces of so many numbers.
 PIECE, SPREAD = 1 << 15, 32
 
@@ -152,16 +154,25 @@ def _runs(texts, ids: dict[bytes, int]):
 
 
 def _count(batches):
+    def give(seen):
+        words = [w for w in seen if len(w) <= 64]
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array([seen[w] for w in words], pa.int64())})
+
+    seen = Counter()
     for batch in batches:
-        seen = Counter()
         for text in batch.column(0):
             seen.update(words_of(text.as_py()))
-        words = [w for w in seen if len(w) <= 64]
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array([seen[w] for w in words], pa.int64())})
+        if len(seen) > COUNTED:
+            yield give(seen)
+            seen = Counter()
+    yield give(seen)
 
 
 def vocabulary(texts: DataFrame) -> dict[bytes, int]:
     counts = texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # the best of each lot of tasks first, so that what reaches the driver does not grow with the number of tasks
+    lots = Window.partitionBy("lot").orderBy(F.desc("n"), "word")
+    counts = counts.withColumn("lot", F.spark_partition_id() % LOTS).withColumn("place", F.row_number().over(lots)).where(F.col("place") <= TOP)
     return {bytes(r["word"]): i for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(TOP).collect())}
 
 
@@ -206,7 +217,7 @@ def one_round(texts: DataFrame, ids, weights: Weights) -> Weights:
 
 def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood of each row."""
-    sc = docs.sparkSession.sparkContext
+    sc = in_batches(docs).sparkSession.sparkContext
     texts = docs.select("text")
     ids = sc.broadcast(vocabulary(texts))
     weights = first_weights()

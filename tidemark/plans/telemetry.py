@@ -18,8 +18,8 @@ TIES = ("event_id",)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many digits, so that engines agree on the last bit."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles to so many digits, so that engines agree on the last bit; minutes are one exact division and stay."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" and not c.endswith("_minutes") else F.col(c) for c, t in df.dtypes))
 
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:
@@ -269,9 +269,9 @@ SQL: dict[str, str] = {
 per AS (SELECT asset_id, count(*) AS obs, count(*) - count(DISTINCT timestamp) AS dup_count, min(timestamp) AS date_min, max(timestamp) AS date_max FROM hourly GROUP BY asset_id),
 slots AS (SELECT *, (epoch_us(date_max) - epoch_us(date_min)) // 3600000000 + 1 AS expected FROM per)
 SELECT asset_id AS asset, obs, expected, round(greatest(expected - obs, 0) / expected * 100, 6) AS missing_pct, dup_count,
-  round(coalesce((SELECT max(gap) / 60000000 FROM gaps WHERE gaps.asset_id = slots.asset_id), 0), 6) AS max_gap_minutes, date_min, date_max FROM slots""",
+  coalesce((SELECT max(gap) / 60000000 FROM gaps WHERE gaps.asset_id = slots.asset_id), 0) AS max_gap_minutes, date_min, date_max FROM slots""",
     "gaps_top10": f"""WITH {_SERIES}, {_GAPS.format(rows='series')}
-SELECT asset_id AS asset, gap_start, gap_end, round(gap / 60000000, 6) AS gap_minutes, greatest(gap // 3600000000 - 1, 0)::BIGINT AS missing_points_est FROM gaps
+SELECT asset_id AS asset, gap_start, gap_end, gap / 60000000 AS gap_minutes, greatest(gap // 3600000000 - 1, 0)::BIGINT AS missing_points_est FROM gaps
 QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY gap DESC, gap_start) <= 10""",
     "duplicate_timestamps": f"WITH {_SERIES} SELECT asset_id AS asset, timestamp, count(*) AS count FROM hourly GROUP BY ALL HAVING count(*) > 1",
     "duplicate_examples": f"""WITH {_SERIES}, g AS (SELECT asset_id, timestamp FROM hourly GROUP BY ALL HAVING count(*) > 1),
@@ -287,7 +287,7 @@ SELECT asset_id, variable, unnest(['P1', 'P5', 'P10', 'P25', 'P50', 'P75', 'P90'
     "level_histogram": f"WITH {_SERIES}, " + _histogram("series", '"nivelPorcentual"', 20, "asset_id"),
     "rolling_median": f"WITH {_SMOOTH} SELECT asset_id, timestamp, event_id, i::INT AS i, round(v, 6) AS v FROM smooth",
     "local_extrema": f"WITH {_EXTREMA} SELECT asset_id, timestamp, event_id, i::INT AS i, round(v, 6) AS v, is_min, is_max FROM extrema WHERE is_min OR is_max",
-    "recharge_events": f"""WITH {_EVENTS} SELECT asset_id, start_time, end_time, round(duration_minutes, 6) AS duration_minutes, round(level_start, 6) AS level_start,
+    "recharge_events": f"""WITH {_EVENTS} SELECT asset_id, start_time, end_time, duration_minutes, round(level_start, 6) AS level_start,
   round(level_end, 6) AS level_end, round(amplitude, 6) AS amplitude FROM recharge""",
     "amplitude_histogram": f"WITH {_EVENTS}, " + _histogram("recharge", "amplitude", 10, ""),
     "correlation": f"""WITH {_SERIES} SELECT asset_id, round(corr("nivelEstanque", "nivelPorcentual"), 6) AS pearson_r, round(regr_slope("nivelEstanque", "nivelPorcentual"), 6) AS slope,

@@ -1,0 +1,76 @@
+"""Near copies of the pipeline against brute force."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import nearcopies
+
+DOCS = "doc_id long, text string"
+
+
+def prose(rng, n):
+    return " ".join(f"w{i}" for i in rng.integers(0, 3000, n))
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for i in rng.choice(len(w), edits, replace=False):
+        w[i] = f"new{rng.integers(1 << 40)}"
+    return " ".join(w)
+
+
+def brute_groups(texts):
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("leaders", [8, 0, 1])
+def test_near_copies_against_brute_force(spark, monkeypatch, leaders):
+    monkeypatch.setattr(nearcopies, "LEADERS", leaders)
+    monkeypatch.setattr(nearcopies, "FEW", 0.5)
+    rng = np.random.default_rng(5)
+    base = [prose(rng, 200) for _ in range(40)]
+    # 1 to 6 edited words of 200: similarity of about 0.95 down to 0.74; then a large group around one text
+    texts = [*base, *(edited(rng, t, 1 + i % 6) for i, t in enumerate(base)), *(edited(rng, base[0], 3) for _ in range(60)), "", None, " \n", "Short  text", "short text", "other short"]
+    want = brute_groups(texts)
+    assert 40 < len(set(want)) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
+
+
+def test_recall_of_the_keys_at_the_least_similarity():
+    rng = np.random.default_rng(6)
+    found = 0
+    for _ in range(1500):
+        h = rng.integers(0, 1 << 63, 180, dtype=np.uint64)  # 160 of 200 in common: 0.8
+        a, b = np.sort(h), np.sort(np.append(h[:160], rng.integers(0, 1 << 63, 20, dtype=np.uint64)))
+        found += bool((nearcopies.band_keys(a) == nearcopies.band_keys(b)).any())
+    assert found >= 1495
+
+
+def test_ids_do_not_identify_groups(spark):
+    rng = np.random.default_rng(7)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (9, d), (None, e), (3, e), (7, c)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert sorted(got.collect(), key=str) == sorted(spark.createDataFrame([(None, a), (None, b), (7, c), (7, d), (3, e)], DOCS).collect(), key=str)
+    assert corpus_pipeline.near_duplicates_stage(spark, docs.limit(0), "").count() == 0

@@ -1,0 +1,137 @@
+"""One document of each group of near copies, for the corpus pipeline.
+
+Two texts are near copies if their sets of five-word shingles have a Jaccard
+similarity of ``similarity`` or more; groups are the connected components.
+
+1. A text is named by its MD5.  MinHash values of its shingles, ``ROWS`` to a
+   band, give ``BANDS`` keys.  Of pairs at 0.8, 1 - (1 - 0.8^5)^20 = 99.97 %
+   share a key, of closer ones more; only those others can be missed.
+2. Texts that share a key are compared by their whole shingle sets.  First each
+   text of a key with one leader, for some leaders in turn, which is linear and
+   joins large groups; then all pairs of a key that are still in different
+   groups.  No key is capped and no pair of a key is left out.
+
+Defined cases: words as in ``simhash``; fewer words than a shingle give one
+shingle of them all; texts without words are copies of each other.  Of a group
+the row of the smallest doc_id stays, null last, then the smallest MD5 of the
+text, then the smallest hash of the row; doc_id does not identify a group.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import in_batches, saved
+from .components import connected_components
+
+SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 20, 5, 42
+#: Shingles whose MinHash values are found at once: bounds memory for very long texts.
+STEP = 1 << 12
+#: Rounds of leaders at most, and pairs for each row of a key that are few enough to do without more.
+LEADERS, FEW = 8, 4
+_rng = np.random.default_rng(SEED)
+_MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.append(0, ends[:-1] + 1).tolist()
+    ends, width, digest = ends.tolist(), min(shingle, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), STEP):
+        h = hashes[i : i + STEP]
+        h = h ^ h >> np.uint64(31)
+        mixed = _MULTIPLY[:, None] * h + _ADD[:, None]
+        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def _banded(batches):
+    for batch in batches:
+        keys = [band_keys(shingles(t.as_py())) for t in batch.column(1)]
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)], ["node", "keys"])
+
+
+def _sets(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "held"])
+
+
+def similar(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs a, b that are near copies."""
+
+    def run(batches):
+        for batch in batches:
+            ok = pa.array([similar(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "held_a", "held_b")
+    return in_batches(rows).mapInArrow(run, "a binary, b binary")
+
+
+def _picked(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``named`` for each node, row of ``rows``."""
+    return named.join(rows.select("node", "row"), ["node", "row"], "left_semi").dropDuplicates(["node", "row"])
+
+
+def _roots(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """node, root of the texts that have a near copy."""
+    bands = saved(in_batches(named).select("node", "doc.text").mapInArrow(_banded, "node binary, keys array<long>").dropDuplicates(["node"]), "bands")
+    keys = bands.select("node", F.explode("keys").alias("key"))
+    members = saved(keys.join(keys.groupBy("key").count().where("count > 1"), "key").select("key", "node"), "members")
+    wanted = saved(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "best.row"), "wanted")
+    sets = saved(in_batches(_picked(named, wanted)).select("node", "doc.text").mapInArrow(_sets, "node binary, held binary"), "sets")
+    links, roots, left = None, None, members.withColumn("root", F.col("node"))
+    for k in range(LEADERS + 1):
+        sizes = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots"))
+        open_ = sizes.where("roots > 1")
+        rows, pairs = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not pairs:
+            break
+        left = saved(left.join(open_.select("key"), "key"), "left")
+        last = k == LEADERS or pairs <= FEW * rows
+        if last:
+            x, y = left.alias("x"), left.alias("y")
+            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        else:
+            lead = left.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("lead"), F.col("root").alias("lead_root")), F.struct(F.xxhash64(F.lit(k), "node"), "node")).alias("l")).select("key", "l.*")
+            found = left.join(lead, "key").where("root <> lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        fresh = saved(_compared(saved(found.distinct(), "pairs"), sets, similarity), "links")
+        links = fresh if links is None else links.unionByName(fresh)
+        roots = connected_components(links)
+        if last:
+            break
+        left = saved(left.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "left")
+    return named.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else saved(roots, "roots")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies."""
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).alias("node"), F.xxhash64(*docs.columns).alias("row"))
+    best = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row"))
+    nodes = saved(named.groupBy("node").agg(best.alias("best")), "nodes")
+    grouped = nodes.join(_roots(named, nodes, similarity), "node", "left")
+    kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("best.none", "best.id", "node", "best.row")).alias("kept"))
+    return _picked(named, saved(kept.select("kept.*"), "kept")).select("doc.*")

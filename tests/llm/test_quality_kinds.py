@@ -1,0 +1,33 @@
+"""Low quality that shows in word length, digits or punctuation, not in repetition or junk."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+
+from tidemark.llm import quality
+
+BAD = {
+    "glued words": lambda ws: " ".join("".join(ws[i : i + 3]) for i in range(0, len(ws), 3)),
+    "digits": lambda ws: " ".join(str(10 ** len(w) + i)[1:] if i % 3 == 1 else w for i, w in enumerate(ws)),
+    "no punctuation": lambda ws: " ".join(w.rstrip(",.") for w in ws),
+}
+
+
+@pytest.mark.parametrize("kind", BAD)
+def test_other_kinds_of_low_quality(spark, kind):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = ["".join(rng.choice(letters, k)) for k in rng.integers(3, 9, 400)]
+    rows, labels = [], []
+    for i in range(500):
+        ws = [f"{w}," if j % 6 == 3 else f"{w}." if j % 11 == 10 else w for j, w in enumerate(rng.choice(vocabulary, rng.integers(20, 120)))]
+        ws[0] = ws[0].capitalize()
+        rows.append((i, BAD[kind](ws) if i % 4 == 0 else " ".join(ws)))
+        labels.append((i, int(i % 4 != 0), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).select("doc.doc_id", "score").collect()
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 != 0) for r in held]) > 0.97

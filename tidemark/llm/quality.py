@@ -48,18 +48,23 @@ def statistics(text: Column) -> dict[str, Column]:
         lambda s, w: F.struct(w.alias("last"), (s["n"] + (s["last"] == w).cast("int")).alias("n")),
     )["n"]
     return {
+        "words": F.log1p(F.size(words).cast("double")),
+        "word_chars": chars / n,
         "distinct_words": F.size(F.array_distinct(words)) / n,
         "same_as_last": again / n,
         "same_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)).cast("double"),
+        "line_words": n / F.greatest(F.size(lines), F.lit(1)).cast("double"),
         "marks": of_class(r"[%&#$*@^~<>{}=_\\\[\]]") / chars,
         "capitals": of_class(r"\p{Lu}") / chars,
+        "digits": of_class("[0-9]") / chars,
         "bars": single("|") / n,
         "shouts": single("!") / n,
+        "stops": single(".") / n,
+        "commas": single(",") / n,
     }
 
 
-#: Signs of repetition and of junk; lengths and ordinary punctuation are left out, for clean texts differ in them.
-NAMES = ("distinct_words", "same_as_last", "same_lines", "marks", "capitals", "bars", "shouts")
+NAMES = ("words", "word_chars", "distinct_words", "same_as_last", "same_lines", "line_words", "marks", "capitals", "digits", "bars", "shouts", "stops", "commas")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:

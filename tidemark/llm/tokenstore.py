@@ -30,7 +30,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, shared_dir, table
 
-END_ID, SHARD_TOKENS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 0, 1 << 19, 4, 2048, 8
+END_ID, SHARD_TOKENS, PAIRS_A_ROUND, LEAST_COUNT = 0, 1 << 19, 2048, 8
 CACHE_UNITS = 400_000
 #: Texts encoded at once.
 BATCH = 2000
@@ -108,12 +108,12 @@ def default_tokenizer() -> str:
 # --- Re-Pair ---
 
 
-def repair(symbols: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND, least: int = LEAST_COUNT):
-    """Compressed symbols, their document ends, rules (n x 2) and their expansion lengths."""
+def repair(symbols: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | None = None, most: int = PAIRS_A_ROUND, least: int = LEAST_COUNT):
+    """Compressed symbols, their document ends, rules (n x 2) and their expansion lengths; at most ``rounds`` rounds, None for all."""
     s = symbols.astype(np.uint32)
     ends = ends.astype(np.int64)
     rules, lengths = np.empty((0, 2), np.int64), np.ones(vocabulary, np.int64)
-    for _ in range(rounds):
+    for _ in islice(count(), rounds):
         room = min(most, (1 << 16) - len(lengths))
         if len(s) < 2 or room <= 0:
             break
@@ -122,11 +122,11 @@ def repair(symbols: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int =
         inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(s))] - 1] = False
         order = np.sort(pair[inside])
         head = np.flatnonzero(np.diff(order, prepend=order[:1] ^ np.uint32(1) if len(order) else order))
-        count = np.diff(head, append=len(order))
-        often = np.flatnonzero(count >= least)
+        times = np.diff(head, append=len(order))
+        often = np.flatnonzero(times >= least)
         if not often.size:
             break
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[:room]])
+        often = np.sort(often[np.argsort(-times[often], kind="stable")[:room]])
         chosen = order[head[often]]
         # a bit for the low bits of each chosen pair leaves few places to look up
         mark = np.zeros(1 << 20, bool)
@@ -192,7 +192,7 @@ def read_ids(shard: dict, j: int, start: int = 0, stop: int | None = None) -> np
 # --- writing and reading ---
 
 
-def _shard(part: int, number: int, docs: list, ids: list[np.ndarray], vocabulary: int, rounds: int) -> dict:
+def _shard(part: int, number: int, docs: list, ids: list[np.ndarray], vocabulary: int, rounds: int | None) -> dict:
     n = np.array([len(x) for x in ids], np.int64)
     symbols, ends, rules, expansions = repair(np.concatenate(ids), np.cumsum(n), vocabulary, rounds)
     return {
@@ -205,7 +205,7 @@ ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.list
                    *((c, pa.binary()) for c in ("symbols", "doc_ends", "n_ids", "rules", "expansions"))])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int | None = None) -> None:
     """Write ``docs`` (doc_id, text) in ascending doc_id order."""
 
     def run(batches):

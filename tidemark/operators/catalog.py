@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,20 +44,28 @@ def last_of_each(assets: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in assets.columns))
 
 
-def walked(texts: DataFrame, text: str, depth: int = 12) -> DataFrame:
-    """Every object in JSON texts, at any depth up to ``depth``: the other columns and ``node`` (variant).
+def walked(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
+    """Every object in JSON texts, at any depth: the other columns and ``node`` (variant).
 
-    One scan: each step keeps a row and adds the children of rows that the step before added.
+    A scan goes ``levels`` deep: each step keeps a row and adds the children of rows that the step before added.  What
+    lies deeper is walked by further scans of the deepest objects and lists (in the checkpoint folder, if one is set).
     """
     keep = [c for c in texts.columns if c != text]
     child = "array<struct<node: variant, fresh: boolean>>"
-    rows = texts.select(*keep, F.try_parse_json(text).alias("node"), F.lit(True).alias("fresh")).where("node IS NOT NULL")
+    fresh, found = texts.select(*keep, F.try_parse_json(text).alias("node"), F.lit(True).alias("fresh")).where("node IS NOT NULL"), []
     kids = F.coalesce(F.try_variant_get("node", "$", "array<variant>"), F.map_values(F.try_variant_get("node", "$", "map<string,variant>")))
-    for _ in range(depth):
-        own = F.array(F.struct("node", F.lit(False).alias("fresh"))).cast(child)
-        new = F.when(F.col("fresh"), F.transform(kids, lambda k: F.struct(k.alias("node"), F.lit(True).alias("fresh"))).cast(child))
-        rows = rows.select(*keep, F.explode(F.concat(own, F.coalesce(new, F.array().cast(child)))).alias("e")).select(*keep, "e.node", "e.fresh")
-    return rows.select(*keep, "node").where(F.schema_of_variant("node").startswith("OBJECT"))
+    kind = F.schema_of_variant("node")
+    while not found or not fresh.isEmpty():
+        rows = fresh
+        for _ in range(levels):
+            own = F.array(F.struct("node", F.lit(False).alias("fresh"))).cast(child)
+            new = F.when(F.col("fresh"), F.transform(kids, lambda k: F.struct(k.alias("node"), F.lit(True).alias("fresh"))).cast(child))
+            rows = rows.select(*keep, F.explode(F.concat(own, F.coalesce(new, F.array().cast(child)))).alias("e")).select(*keep, "e.node", "e.fresh")
+        found.append(rows.where(~F.col("fresh") & kind.startswith("OBJECT")).select(*keep, "node"))
+        fresh = rows.where(F.col("fresh") & (kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        if texts.sparkSession.sparkContext.getCheckpointDir():
+            fresh = fresh.checkpoint()
+    return reduce(DataFrame.unionAll, found)
 
 
 def _text(path: str) -> Column:
@@ -63,17 +73,17 @@ def _text(path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get("node", path, "variant")) == "STRING", F.try_variant_get("node", path, "string"))
 
 
-def walk_entities(texts: DataFrame, text: str, depth: int = 12) -> DataFrame:
+def walk_entities(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
     """Objects with entityId.id and a name, label or entityName: the other columns, id, name."""
-    nodes = walked(texts, text, depth)
+    nodes = walked(texts, text, levels)
     keep = [c for c in nodes.columns if c != "node"]
     name = F.coalesce(*(F.nullif(_text(p), F.lit("")) for p in ("$.name", "$.label", "$.entityName")))
     return nodes.select(*keep, _text("$.entityId.id").alias("id"), name.alias("name")).where("id <> '' AND name IS NOT NULL")
 
 
-def walk_types(texts: DataFrame, text: str, depth: int = 12) -> DataFrame:
+def walk_types(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
     """Distinct name, type of objects with entityType ASSET that have both as strings."""
-    nodes = walked(texts, text, depth).where(_text("$.entityType") == "ASSET")
+    nodes = walked(texts, text, levels).where(_text("$.entityType") == "ASSET")
     pick = lambda a, b: F.coalesce(F.nullif(_text(a), F.lit("")), F.nullif(_text(b), F.lit("")))
     return nodes.select(pick("$.name", "$.label").alias("name"), pick("$.type", "$.assetType").alias("type")).na.drop().distinct()
 

@@ -15,6 +15,7 @@ ASSETS = ["click", "error", "purchase", "scroll", "view"]
 HOUR = 60
 ZONE = "America/Santiago"
 TIES = ("event_id",)
+EVENTS_A_MESSAGE = 1000
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -49,8 +50,9 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of one event type and at most EVENTS_A_MESSAGE successive event ids, so that none grows with the table."""
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
-    rows = events(spark, d).groupBy("event_type").agg(F.collect_list(F.array(ms, F.col("value").cast("string"))).alias("points"))
+    rows = events(spark, d).groupBy("event_type", F.floor(F.col("event_id") / EVENTS_A_MESSAGE)).agg(F.collect_list(F.array(ms, F.col("value").cast("string"))).alias("points"))
     data = F.struct(F.lit(1).alias("cmdId"), F.create_map(F.lit("timeOn"), F.col("points")).alias("data"))
     return rows.select("event_type", F.to_json(data).alias("message"))
 

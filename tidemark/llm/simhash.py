@@ -94,7 +94,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id; of rows that repeat it, one."""
+    """``docs`` with one row of each component_id: that of the smallest doc_id; of rows that repeat it, one.
+
+    Groups without ids, and groups with the same smallest doc_id, count as one here, so texts are lost where ids are null
+    or repeated; the pipeline uses ``nearcopies.one_of_each``, which does not go by doc_id.
+    """
     kept = near_duplicates(docs, **settings).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return rows.dropDuplicates(["doc_id"])

@@ -15,10 +15,10 @@ document), ``n_ids`` (u4, ids of each document), ``rules`` (pairs of u2; rule r
 is symbol ``vocabulary`` + r) and ``expansions`` (u4, length of each rule).
 Spark's committer writes it to any store and redoes the files of lost tasks.
 
-Encoding looks up units of text in a bounded cache: a text without two adjacent
-white-space characters splits before each blank exactly where the tokenizer's
-own pre-tokenizer splits, so units can be encoded apart; other texts, and those
-with a special token's string, are encoded whole.
+Encoding looks up units of text in a bounded cache: the tokenizer's own
+pre-tokenizer splits before every blank but one that stands between white space
+and more of it or the end, so units can be encoded apart; texts with such a
+blank or a special token's string are encoded whole.
 
 Defined cases: null text is empty and yields the end id alone; doc_ids sort
 ascending, null first; rows of one doc_id follow in the order of their text's
@@ -34,58 +34,142 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, shared_dir, table
 
 END_ID, SHARD_TOKENS, PAIRS_A_ROUND, LEAST_COUNT = 0, 1 << 19, 2048, 8
-CACHE_UNITS = 400_000
-#: Texts encoded at once.
-BATCH = 2000
+#: Units whose ids a worker keeps; pieces encoded at once; bytes of texts encoded at once; units whose ids are gathered at once.
+CACHE_UNITS, LINES, BATCH_TEXT, GATHERED = 1_500_000, 256, 16 << 20, 1 << 17
 TOKENIZER = "byte_bpe_50k.json"
+# The byte-level tokenizer's own rule of splitting, a blank before a piece aside.
+BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+KINDS = (r"\p{L}+", r"\p{N}+", r"[^\p{L}\p{N}\n]+")
+#: Characters of units that are cut here: neither white space nor the apostrophe, which starts pieces of its own, nor
+#: anything on whose kind two versions of Unicode might differ.
+CHAR = r"[!-&(-~\x{a1}-\x{24f}]"
+#: White space for Arrow's patterns, whatever one of the libraries takes for it.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 FILE_SCHEMA = "part int, shard int, docs array<long>, n_tokens long, vocabulary int, symbols binary, doc_ends binary, n_ids binary, rules binary, expansions binary"
 
 
 class Encoder:
-    """Texts to ids.  ``known`` has the ids of a blank and a unit; between calls it holds CACHE_UNITS units at most."""
+    """Texts to ids, many at a time.
+
+    A batch of texts is split before each blank by Arrow, and its distinct units are looked up among those ``known``;
+    what occurrences cost is a gather.  Unknown units are cut as the tokenizer's own pre-tokenizer would cut them, and
+    the pieces are encoded by the library.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        if self.size > 1 << 16:
+            raise ValueError(f"{path}: {self.size} ids do not fit the 16 bits of the file format")
+        #: Only a byte-level tokenizer splits at blanks in this way; any other one gets whole texts.
+        self.splits = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == BYTE_LEVEL
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([r"\s\s", *special]))
-        self.line = self.whole(["\n"])[0][0]  # no unit without a line feed yields this id
-        self.known: dict[str, bytes] = {}
+        self.apart = "|".join([f"{SPACE} (?:{SPACE}|$)", *special])
+        self.lines = Tokenizer.from_file(path)  # every line is one piece
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bytes_of = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)  # a character for each byte
+        self.line = self.whole(["\n"])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        """A ``known`` unit has its ids in ``pool`` from ``at`` to ``at + n``; one that has no blank before it starts with one here."""
+        self.known = pa.array([], pa.string())
+        self.pool = np.empty(0, "<u2")
+        self.at = self.n = np.empty(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, units: list[str]) -> None:
-        """Units without white space are encoded many at a time, a line feed between them; others one by one."""
-        plain, other = [], []
-        for u in units:
-            (plain if u and not re.search(r"\s", u) else other).append(u)
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = self.whole(["\n".join([" " + u for u in part])])[0]
-            ends = [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
-            held = ids.tobytes()
-            self.known.update(zip(part, (held[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)), strict=True))
-        self.known.update(zip(other, (ids.tobytes() for ids in self.whole([" " + u for u in other])), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        apart = [i for i, t in enumerate(texts) if self.apart.search(t)]
-        out = dict(zip(apart, self.whole([texts[i] for i in apart]), strict=True))
-        units = {i: t.split(" ") for i, t in enumerate(texts) if i not in out}
-        first = dict(zip(units, self.whole([u[0] for u in units.values()]), strict=True))
-        self.learn(list({u for x in units.values() for u in x[1:] if u not in self.known}))
-        for i, (_, *rest) in units.items():
-            out[i] = np.frombuffer(first[i].tobytes() + b"".join(map(self.known.__getitem__, rest)), "<u4")
-        if len(self.known) > CACHE_UNITS:  # the oldest go
-            self.known = dict(islice(self.known.items(), len(self.known) - CACHE_UNITS // 2, None))
+        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has; no piece holds a line feed."""
+        lots = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), LINES), len(pieces)], pa.int32()), pieces)
+        held, count = [np.empty(0, "<u2")], [np.empty(0, np.int64)]
+        for joined in pc.binary_join(lots, "\n").to_pylist():
+            ids = np.array(self.lines.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+            stop = np.flatnonzero(np.frombuffer(joined.encode() + b"\n", np.uint8) == 10)
+            stop -= np.arange(len(stop))  # bytes up to the end of each piece
+            held.append(ids)
+            count.append(np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), stop) + 1, prepend=0))
+        return np.concatenate(held), np.concatenate(count)
+
+    def ids_of(self, place: np.ndarray) -> np.ndarray:
+        """The ids of known units in a row."""
+        out = [np.empty(0, "<u2")]
+        for i in range(0, len(place), GATHERED):
+            n, at = self.n[place[i : i + GATHERED]], self.at[place[i : i + GATHERED]]
+            out.append(self.pool[np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)])
+        return np.concatenate(out)
+
+    def add(self, units: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, units])
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def learn(self, units: pa.Array) -> None:
+        """Add units that are not known."""
+        plain = pc.match_substring_regex(units, f"^{CHAR}+(?:\n{CHAR}+)*\n?$")
+        single = pc.and_(plain, pc.match_substring_regex(units, f"^(?:{'|'.join(KINDS)})$"))
+        made = pc.and_not(plain, single)
+        odd = units.filter(pc.invert(pc.or_(single, made))).to_pylist()
+        found = self.whole([u[1:] if u[:1] == " " else " " + u for u in odd])
+        self.add(pa.array(odd, pa.string()), np.concatenate([np.empty(0, "<u2"), *found]), np.array([len(x) for x in found], np.int64))
+        # the others are cut into pieces, which are units themselves
+        made = units.filter(made)
+        cut = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(made, f"({'|'.join(KINDS)}|\n)", "\\1\x00"), "\x00"), "\x00")
+        ends, parts = cut.offsets.to_numpy(), cut.flatten()
+        first = np.zeros(len(parts), bool)
+        first[ends[:-1]] = True
+        parts = pc.if_else(pa.array(first), parts, pc.binary_join_element_wise("", parts, " ")).dictionary_encode()
+        names = parts.dictionary
+        place = pc.index_in(names, value_set=self.known)
+        fresh = pc.unique(pa.concat_arrays([units.filter(single), names.filter(place.is_null())]))
+        feed = pc.equal(fresh, " \n")
+        texts = pc.if_else(pc.starts_with(fresh, " "), pc.utf8_slice_codeunits(fresh, 1), pc.binary_join_element_wise("", fresh, " "))
+        new = len(self.known)
+        if pc.any(feed).as_py():
+            self.add(fresh.filter(feed), self.line, np.array([len(self.line)]))
+        fresh, texts = fresh.filter(pc.invert(feed)), texts.filter(pc.invert(feed))
+        self.add(fresh, *self.encode_pieces(texts))
+        if len(made):
+            place = place.fill_null(-1).to_numpy().copy()
+            late = np.flatnonzero(place < 0)
+            place[late] = new + pc.index_in(names.take(pa.array(late)), value_set=self.known.slice(new)).to_numpy()
+            place = place[parts.indices.to_numpy()]
+            self.add(made, self.ids_of(place), np.add.reduceat(self.n[place], ends[:-1]))
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.string()).fill_null("")
+        apart = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(texts), bool)
+        out = dict(zip(np.flatnonzero(apart).tolist(), self.whole(texts.filter(pa.array(apart)).to_pylist()), strict=True))
+        if len(rest := np.flatnonzero(~apart)):
+            split = pc.split_pattern(texts.take(pa.array(rest)), " ")
+            ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+            units = split.flatten().dictionary_encode()
+            first = pc.binary_join_element_wise("", units.take(pa.array(ends[:-1])).cast(pa.string()), " ").dictionary_encode()
+            names = pa.concat_arrays([units.dictionary, first.dictionary])
+            if len(self.known) + len(names) > CACHE_UNITS:
+                self.forget()
+            place = pc.index_in(names, value_set=self.known).fill_null(-1).to_numpy().copy()
+            if len(late := np.flatnonzero(place < 0)):
+                new, missing = len(self.known), names.take(pa.array(late))
+                self.learn(missing)
+                place[late] = new + pc.index_in(missing, value_set=self.known.slice(new)).to_numpy()
+            which = place[units.indices.to_numpy()]
+            which[ends[:-1]] = place[len(units.dictionary) + first.indices.to_numpy()]
+            stop = np.cumsum(self.n[which])[ends[1:] - 1]
+            out |= zip(rest.tolist(), np.split(self.ids_of(which), stop[:-1]), strict=True)
         return [out[i] for i in range(len(texts))]
 
 
@@ -107,48 +191,60 @@ def default_tokenizer() -> str:
 
 # --- Re-Pair ---
 
+NEVER, LATER = -2, -1
+
 
 def repair(symbols: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | None = None, most: int = PAIRS_A_ROUND, least: int = LEAST_COUNT):
     """Compressed symbols, their document ends, rules (n x 2) and their expansion lengths; at most ``rounds`` rounds, None for all."""
     s = symbols.astype(np.uint32)
     ends = ends.astype(np.int64)
     rules, lengths = np.empty((0, 2), np.int64), np.ones(vocabulary, np.int64)
+    inside = np.ones(len(s), bool)  # whether a symbol and the next are of one document
+    inside[ends[ends > 0] - 1] = False
+    inside[-1:] = False
+    # a pair that was not frequent before can only become so with a new symbol in it, so the others are left alone
+    live = inside.copy()
     for _ in islice(count(), rounds):
         room = min(most, (1 << 16) - len(lengths))
-        if len(s) < 2 or room <= 0:
+        places = np.flatnonzero(live)
+        if not places.size or room <= 0:
             break
-        pair = s[:-1] << np.uint32(16) | s[1:]
-        inside = np.ones(len(pair), bool)
-        inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(s))] - 1] = False
-        order = np.sort(pair[inside])
-        head = np.flatnonzero(np.diff(order, prepend=order[:1] ^ np.uint32(1) if len(order) else order))
+        pair = s[places] << np.uint32(16) | s[places + 1]
+        order = np.sort(pair)
+        head = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
         times = np.diff(head, append=len(order))
         often = np.flatnonzero(times >= least)
         if not often.size:
             break
-        often = np.sort(often[np.argsort(-times[often], kind="stable")[:room]])
-        chosen = order[head[often]]
-        # a bit for the low bits of each chosen pair leaves few places to look up
-        mark = np.zeros(1 << 20, bool)
+        frequent = order[head[often]]
+        chosen = frequent[np.argsort(-times[often], kind="stable")[:room]]
+        # a table by the pairs' hashes: a chosen pair's number, LATER for other frequent ones; of chosen pairs that clash one waits
+        table = np.full(1 << 20, NEVER, np.int32)
         slot = lambda p: (p * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        mark[slot(chosen)] = True
-        at = np.flatnonzero(inside & mark[slot(pair)])
-        which = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[which] == pair[at]
-        at, which = at[hit], which[hit]
-        if not at.size:
-            break
+        table[slot(frequent)] = LATER
+        table[slot(chosen)] = np.arange(len(chosen))
+        which = table[slot(pair)]
+        live[places[which == NEVER]] = False
+        hit = np.flatnonzero(which >= 0)
+        hit = hit[chosen[which[hit]] == pair[hit]]
+        at, which = places[hit], which[hit]
         # of overlapping places in a row take the first, third, ...
         run = np.flatnonzero(np.diff(at, prepend=-9) != 1)
         take = (at - np.repeat(at[run], np.diff(run, append=len(at)))) % 2 == 0
         at, which = at[take], which[take]
-        used, which = np.unique(which, return_inverse=True)
+        used = np.flatnonzero(np.bincount(which, minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.uint32)
+        number[used] = len(lengths) + np.arange(len(used))
         new = np.column_stack([chosen[used] >> np.uint32(16), chosen[used] & np.uint32(0xFFFF)]).astype(np.int64)
-        s[at] = (len(lengths) + which).astype(np.uint32)
-        gone = np.zeros(len(s), bool)
-        gone[at + 1] = True
-        ends = ends - np.concatenate([[0], np.cumsum(gone)])[ends]
-        s = s[~gone]
+        s[at] = number[which]
+        inside[at] = inside[at + 1]
+        live[at] = inside[at]
+        before = at[at > 0] - 1
+        live[before] = inside[before]
+        ends = ends - np.searchsorted(at + 1, ends)
+        left = np.ones(len(s), bool)
+        left[at + 1] = False
+        s, inside, live = s[left], inside[left], live[left]
         rules = np.vstack([rules, new])
         lengths = np.concatenate([lengths, lengths[new[:, 0]] + lengths[new[:, 1]]])
     return s.astype("<u2"), ends, rules, lengths[vocabulary:]
@@ -205,6 +301,19 @@ ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.list
                    *((c, pa.binary()) for c in ("symbols", "doc_ends", "n_ids", "rules", "expansions"))])
 
 
+def _gathered(batches):
+    """Batches of about BATCH_TEXT bytes, so that there are fewer distinct units to look up."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_TEXT:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int | None = None) -> None:
     """Write ``docs`` (doc_id, text) in ascending doc_id order."""
 
@@ -212,10 +321,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], "<u2")
         names, ids, size, number = [], [], 0, 0
-        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+        for batch in _gathered(batches):
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 names.append(doc_id)
                 ids.append(np.concatenate([found, end]))
                 size += len(ids[-1])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import nearcopies
+from tidemark.llm import simhash
 
 DOCS = "doc_id long, text string"
 
@@ -43,8 +43,8 @@ def brute_groups(texts):
 
 @pytest.mark.parametrize("leaders", [8, 0, 1])
 def test_near_copies_against_brute_force(spark, monkeypatch, leaders):
-    monkeypatch.setattr(nearcopies, "LEADERS", leaders)
-    monkeypatch.setattr(nearcopies, "FEW", 0.5)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "FEW", 0.5)
     rng = np.random.default_rng(5)
     base = [prose(rng, 200) for _ in range(40)]
     # 1 to 6 edited words of 200: similarity of about 0.95 down to 0.74; then a large group around one text
@@ -56,14 +56,30 @@ def test_near_copies_against_brute_force(spark, monkeypatch, leaders):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
 
 
-def test_recall_of_the_keys_at_the_least_similarity():
-    rng = np.random.default_rng(6)
-    found = 0
-    for _ in range(1500):
-        h = rng.integers(0, 1 << 63, 180, dtype=np.uint64)  # 160 of 200 in common: 0.8
-        a, b = np.sort(h), np.sort(np.append(h[:160], rng.integers(0, 1 << 63, 20, dtype=np.uint64)))
-        found += bool((nearcopies.band_keys(a) == nearcopies.band_keys(b)).any())
-    assert found >= 1495
+@pytest.mark.parametrize("n", [5, 10, 23, 24, 47, 48, 100, 191, 200, 700, 1535, 1600])
+def test_recall_at_the_least_similarity(n):
+    rng = np.random.default_rng(n)
+    met = near = 0
+    tries = 1000 if n < 500 else 300
+    fresh = lambda k: rng.integers(0, 1 << 64, k, dtype=np.uint64)
+    for _ in range(tries):
+        # a text and one with a fifth of its shingles gone; two that have 0.8 of all in common
+        gone, both = n - n // 5, -(-8 * n // 9)
+        h, own = fresh(n), (fresh(0) if rng.random() < 0.5 else fresh(n - both))
+        other = h[:gone] if not len(own) else np.append(h[:both], own)
+        a, b = np.unique(h), np.unique(other)
+        assert simhash.similar(a.tobytes(), b.tobytes())
+        met += len(np.intersect1d(simhash.block_keys(a), simhash.block_keys(b))) > 0
+        near += np.bitwise_count((simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).view(np.uint64)).sum() <= simhash.FAR
+    assert met >= tries * 0.99
+    assert near >= tries * 0.99
+
+
+def test_fingerprints_of_unlike_texts_are_far():
+    rng = np.random.default_rng(8)
+    wide = [simhash.wide_fingerprint(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for n in rng.integers(20, 400, 300)]
+    far = [np.bitwise_count((a ^ b).view(np.uint64)).sum() for i, a in enumerate(wide) for b in wide[:i]]
+    assert np.mean(np.array(far) <= simhash.FAR) < 1e-3
 
 
 def test_ids_do_not_identify_groups(spark):

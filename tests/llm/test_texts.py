@@ -86,15 +86,6 @@ def test_links_are_complete(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
 
 
-def test_one_of_each_keeps_one_row(spark, texts):
-    docs = spark.createDataFrame(texts, DOCS).withColumn("component_id", F.lit("clash"))
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    groups = simhash.near_duplicates(docs).select("component_id").distinct().count()
-    assert kept.count() == groups
-    assert simhash.one_of_each(docs.limit(0)).count() == 0
-
-
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder; one of our own only where none is set and all tasks run on this machine."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -39,6 +41,11 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as a struct, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else, as the contracts ask; ``lower`` also folds accented letters."""
     return F.translate(c, UPPER, LOWER)
@@ -51,7 +58,8 @@ BATCH_BYTES = 8 << 20
 def in_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches bounded in bytes: what a task holds does not grow with the texts."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtpKMGTP]?)[bB]?\s*", conf.get(name)).groups()
+    if int(number) << 10 * " kmgtp".index(unit.lower() or " ") > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
 

@@ -1,24 +1,47 @@
 """SimHash near-duplicates (operator 9).
 
 A fingerprint bit is the majority of that bit over the XXH64 hashes of all
-word shingles.  Fingerprints are cut into ``blocks`` blocks; two that differ in
-at most ``distance`` bits agree on some ``blocks - distance`` of them, so they
-meet in a join on one such combination, and the Hamming distance is verified
-inside the join.  With 8 blocks of 8 bits a combination fixes 48 bits: a bucket
-holds at most 2^16 different fingerprints, however many documents there are.
-
-Only distinct fingerprints are joined, so exact copies and all documents of one
-fingerprint cost one row; no pair is formed between them.  Components of the
-links are found in Spark (``components``) and joined back by fingerprint.
-
-Defined cases: null and empty texts have fingerprint 0 and link like any other;
-fewer words than a shingle give one shingle of them all; a null doc_id never
-becomes a component id unless nothing else can (then it is null); rows that
-repeat a doc_id each get a row.
+word shingles.
+
+*Within a number of bits* (``near_duplicates``): fingerprints are cut into
+``blocks`` blocks; two that differ in at most ``distance`` bits agree on some
+``blocks - distance`` of them, so they meet in a join on one such combination,
+and the Hamming distance is verified inside the join.  With 8 blocks of 8 bits a
+combination fixes 48 bits: a bucket holds at most 2^16 different fingerprints,
+however many documents there are.  Only distinct fingerprints are joined, so
+exact copies and all documents of one fingerprint cost one row; no pair is
+formed between them.  Components of the links are found in Spark
+(``components``) and joined back by fingerprint.
+
+*Within a Jaccard similarity* (``one_of_each``, for the pipeline): at 0.8 two
+texts differ in some 10 of 64 bits, which no blocks of one fingerprint tell from
+chance.  So the shingles are dealt into blocks by their hashes first, and every
+block has a fingerprint of its own.
+
+1. The few shingles that two near copies do not share lie in few blocks, so by
+   the pigeonhole principle they share others whole.  There are more blocks for
+   longer texts (``block_level``) and the first ``BLOCK_KEYS`` of them are
+   joined; texts near a change of their number are joined under both numbers.
+   Of pairs at 0.8 some 99.9 % share a key at worst, of closer ones more.
+2. In the join 128-bit fingerprints of the whole texts are compared
+   (``FAR`` bits at most; at 0.8 they differ in 20 to 24, by chance in 64).
+3. What is left is compared by whole shingle sets.  First each text of a key
+   with one leader, ``LEADERS`` times, which is linear and joins large groups;
+   then those of a key that are still in different groups with each other.  No
+   key is capped and no pair of a key is left out.
+
+Defined cases: null and empty texts have fingerprint 0 and link like any other,
+and are copies of each other; fewer words than a shingle give one shingle of
+them all; a null doc_id never becomes a component id unless nothing else can
+(then it is null); rows that repeat a doc_id each get a row.  Of a group
+``one_of_each`` keeps the row of the smallest doc_id, null last, then of the
+smallest MD5 of the text, then of the smallest hash of the row, so doc_id does
+not identify a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,32 +50,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, saved, table
+from .common import in_batches, saved, table, whole_row
 from .components import connected_components
 
 SHINGLE, DISTANCE, BLOCKS, SEED = 3, 2, 8, 42
 #: Hashes whose bits are counted at once: bounds memory for very long texts.
 STEP = 1 << 16
+#: Of near copies: words to a shingle, least Jaccard similarity, blocks joined, bits.
+COPY_SHINGLE, SIMILARITY, BLOCK_KEYS, FAR = 5, 0.8, 24, 40
+#: Rounds of leaders at most, and pairs for each row of a key that are few enough to do without.
+LEADERS, FEW = 2, 4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """``bytes.lower`` and ``bytes.split`` treat exactly A-Z and the characters \\x20 \\x09-\\x0D."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in turn; ``bytes.lower`` and ``bytes.split`` treat exactly A-Z and the characters \\x20 \\x09-\\x0D."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = memoryview(b" ".join(words))
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    width = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(words) - width + 1
-    for i in range(0, n, STEP):
-        j = min(n, i + STEP)
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i:j], ends[i + width - 1 : j + width - 1], strict=True)], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1).tolist()
+    ends, width, digest = ends.tolist(), min(shingle, len(words)), xxhash.xxh64_intdigest
+    for i in range(0, len(words) - width + 1, STEP):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + STEP], ends[i + width - 1 : i + width - 1 + STEP])], "<u8")
+
+
+def bit_counts(h: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """How many of the hashes of each group have each of the 64 bits; groups of 255 at most, or all as one group."""
+    lanes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view("<u8")  # 8 bits counted in one addition
+    if starts is None:
+        return np.add.reduceat(lanes, np.arange(0, len(h), 255)).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.add.reduceat(lanes, starts).view(np.uint8).astype(np.int64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        counts += bit_counts(h)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -93,15 +129,138 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return fps.join(per, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each component_id: that of the smallest doc_id; of rows that repeat it, one.
+# --- near copies ---
+
+
+def distinct_shingles(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, shingle)]))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """128 bits as two longs."""
+    counts = np.zeros(128, np.int64)
+    for i in range(0, len(hashes), STEP):
+        h = hashes[i : i + STEP]
+        more = (h ^ h >> np.uint64(32)) * _ODD
+        counts += np.concatenate([bit_counts(h), bit_counts(more ^ more >> np.uint64(29))])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
+
+
+def block_level(n: float) -> int:
+    """A text of n shingles has 2 to this number of blocks: 1.5 to 3 shingles each, 3 to 6 where there are more than 32 blocks."""
+    log2 = lambda x: int(x).bit_length() - 1
+    return max(2, min(log2(n / 1.5), max(5, log2(n / 3))))
+
+
+def block_keys(hashes: np.ndarray, blocks: int = BLOCK_KEYS) -> np.ndarray:
+    """Of sorted distinct hashes: the fingerprints of their first blocks, mixed with the block's number."""
+    n, found = len(hashes), []
+    if not n:
+        return np.zeros(1, np.int64)
+    # a copy has n * 0.8 to n / 0.8 shingles; two such texts have one of these numbers of blocks in common
+    for level in sorted({block_level(n), block_level(n / SIMILARITY)}):
+        shift = np.uint64(64 - level)
+        h = hashes[: np.searchsorted(hashes, np.uint64(blocks) << shift)] if blocks < 1 << level else hashes
+        if not len(h):
+            continue
+        block = h >> shift
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        size = np.diff(np.append(starts, len(h)))
+        few = size <= 255  # a block of more would be that of thousands by chance
+        ones = bit_counts(h, starts)[few].reshape(-1, 64)
+        fp = np.packbits(2 * ones > size[few, None], axis=1, bitorder="little").view("<u8").ravel()
+        key = (fp ^ (block[starts][few] + np.uint64(level << 32)) * _ODD) * np.uint64(0xD6E8FEB86659FD93)
+        found.append(key ^ key >> np.uint64(31))
+    return np.concatenate(found).view(np.int64) if found else np.zeros(1, np.int64)
+
+
+def _keyed(batches):
+    for batch in batches:
+        hashes = [distinct_shingles(t.as_py()) for t in batch.column(1)]
+        keys, wide = [block_keys(h) for h in hashes], np.array([wide_fingerprint(h) for h in hashes], np.int64).reshape(-1, 2)
+        flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.ListArray.from_arrays(ends, flat)], ["node", "f", "g", "keys"])
+
+
+def _sets(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([distinct_shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "held"])
+
+
+def similar(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b that are near copies."""
+
+    def run(batches):
+        for batch in batches:
+            ok = pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "held_a", "held_b")
+    return in_batches(rows).mapInArrow(run, "a binary, b binary")
+
+
+def _picked(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``named`` for each node, row of ``rows``."""
+    return named.join(rows.select("node", "row"), ["node", "row"], "left_semi").dropDuplicates(["node", "row"])
+
+
+def _close(x: str, y: str):
+    bits = lambda c: F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")))
+    return bits("f") + bits("g") <= FAR
+
+
+def _copy_roots(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root of the texts that have a near copy."""
+    text = _picked(named, nodes.select("node", "best.row")).select("node", "doc.text")
+    keyed = saved(in_batches(text).mapInArrow(_keyed, "node binary, f long, g long, keys array<long>"), "keyed")
+    keys = keyed.select(F.explode("keys").alias("key"), "node", "f", "g")
+    left = saved(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"), "members").withColumn("root", F.col("node"))
+    wanted = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "best.row")
+    sets = saved(in_batches(_picked(named, wanted).select("node", "doc.text")).mapInArrow(_sets, "node binary, held binary"), "sets")
+    roots = None
+    for k in range(LEADERS + 1):
+        sizes = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots"))
+        open_ = sizes.where("roots > 1")
+        rows, pairs = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not pairs:
+            break
+        left = left.join(open_.select("key"), "key")
+        last = k == LEADERS or pairs <= FEW * rows
+        if last:
+            other = left.toDF(*(c if c == "key" else f"other_{c}" for c in left.columns))
+            apart = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root"))
+            found = left.join(other, "key").where(apart & _close("", "other_")).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+        else:
+            of = F.struct(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"), F.col("f").alias("lead_f"), F.col("g").alias("lead_g"))
+            lead = left.groupBy("key").agg(F.min_by(of, F.struct(F.xxhash64(F.lit(k), "node"), "node")).alias("l")).select("key", "l.*")
+            found = left.join(lead, "key").where((F.col("root") != F.col("lead_root")) & _close("", "lead_")).select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
+        links = saved(_compared(saved(found.distinct(), "pairs"), sets), "links")
+        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = saved(connected_components(known), "roots")
+        if last:
+            break
+        left = saved(left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "left")
+    return named.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
+
 
-    Groups without ids, and groups with the same smallest doc_id, count as one here, so texts are lost where ids are null
-    or repeated; the pipeline uses ``nearcopies.one_of_each``, which does not go by doc_id.
-    """
-    kept = near_duplicates(docs, **settings).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    named = docs.select(whole_row(docs).alias("doc"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
+    named = named.select("*", F.xxhash64("doc").alias("row"))
+    best = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row"))
+    nodes = saved(named.groupBy("node").agg(best.alias("best")), "nodes")
+    grouped = nodes.join(_copy_roots(named, nodes), "node", "left")
+    kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("best.none", "best.id", "node", "best.row")).alias("kept"))
+    return _picked(named, saved(kept.select("kept.*"), "kept")).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

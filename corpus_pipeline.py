@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again before the next.
 
 1. quality: documents that the rule ensemble rejects go (operator 6)
-2. near_duplicates: of documents whose five-word shingles have a Jaccard similarity of 0.8 or more one stays (``nearcopies``)
+2. near_duplicates: of documents whose five-word shingles have a Jaccard similarity of 0.8 or more one stays (operator 9)
 3. decontaminate: documents with benchmark passages go (operator 7)
 4. mix: documents are repeated or left out to meet the sources' weights (operator 3)
 5. tokens: ids are written as a compressed dataset; its index is returned (operator 1)
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, nearcopies, quality, tokenstore
+from tidemark.llm import decontaminate, mixing, quality, simhash, tokenstore
 from tidemark.llm.common import saved, table
 
 
@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

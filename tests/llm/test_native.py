@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,10 +89,35 @@ def test_chat_reads_back(spark):
         inside = r["formatted"]
         runs = 1 + sum(a[2] != b[2] and (a[2] or "") != (b[2] or "") for a, b in zip(own, own[1:]))
         assert inside.count("</s>") == inside.count("[INST]") == runs
-        assert [r["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in r["loss_spans"]] == [
+        cut = re.split("</s>|<sep>", r["formatted"])
+        assert [cut[s["turn"]][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in r["loss_spans"]] == [
             re.sub(r"([<\[])(?=(?:/?s>|sep>|/?INST\]))", r"\1\\", (t[3] or "").replace("\\", "\\\\")) for t in own if t[2] == "assistant"]
 
 
+def test_loss_ranges_count_from_the_beginning(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chat(turns)
+    text = {r["conv_id"]: r["formatted"] for r in chats.collect()}
+    got = {}
+    for r in chat.loss_ranges(chats).orderBy("start").collect():
+        got.setdefault(r["conv_id"], []).append(text[r["conv_id"]][r["start"] - 1 : r["start"] - 1 + r["length"]])
+    for r in chats.collect():
+        cut = re.split("</s>|<sep>", r["formatted"])
+        assert got.get(r["conv_id"], []) == [cut[s["turn"]][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in r["loss_spans"]]
+
+
+def test_chat_of_many_turns_takes_time_in_proportion(spark):
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.lit("some text").alias("text"))
+        start = time.monotonic()
+        r = chat.read_chat(chat.format_chat(turns)).select(F.size("turns").alias("n"), F.length("loss_text").alias("m")).first()
+        assert r["n"] == n and r["m"] == 9 * (n - -(-n // 3))
+        return time.monotonic() - start
+
+    seconds(1000)
+    assert seconds(32_000) < 8 * max(1, seconds(8000))
+
+
 def test_chat_empty_table(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 

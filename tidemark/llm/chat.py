@@ -1,7 +1,8 @@
 r"""Chat formatting (operator 8, DataFrame functions only).
 
 The turns of a conversation are collected as structs, sorted, adjacent turns
-of one role are merged into a block, and the blocks are concatenated:
+of one role are merged into a block by array functions, and the blocks are
+concatenated:
 
     <s>[INST]role[/INST]text</s><s>[INST]role[/INST]text<sep>text</s>
 
@@ -10,8 +11,11 @@ and texts a backslash is doubled and a control string gets a backslash after
 its first character; ``\x`` reads back as ``x``.  No control string starts
 inside another, so after escaping none is left and reading back is exact.
 
-``loss_spans`` lists (start, length), 1-based code points of the formatted
-text, one for each turn whose role is ``assistant``.
+``loss_spans`` lists (turn, start, length), one for each turn whose role is
+``assistant``: the number of the turn, from 0, and code points, from 1, in the
+stretch of text between what ends the turn before and what ends this one.  A
+reader cuts the text once and needs no sums; ``loss_ranges`` gives the places in
+the whole text.
 
 Defined cases: null text is empty text, null role the empty role; turns sort
 by turn (null first), then role, then text, so repeated rows stay and ties are
@@ -21,7 +25,7 @@ gives no rows.  A formatted conversation is one value and so lies in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -48,54 +52,47 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     chats = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # blocks: adjacent turns of one role merged; a fold keeps only what the last block holds
-    blocks = F.aggregate(
-        "turns",
-        F.array().cast("array<struct<role:string,texts:array<string>>>"),
-        lambda done, t: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["role"] == t["role"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(t["role"].alias("role"), F.concat(F.element_at(done, -1)["texts"], F.array(t["text"])).alias("texts"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))),
-    )
-    # a piece is a stretch of the output; the flag says whether it is under the loss mask
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    no = F.lit(False)
-
-    def pieces(b: Column) -> Column:
-        texts = F.transform(
-            b["texts"],
-            lambda t, i: F.array(piece(F.when(i > 0, F.lit(SEP)).otherwise(F.lit("")), no), piece(escape(t), b["role"] == loss_role)),
-        )
-        head = F.array(piece(F.concat(F.lit(BEGIN + ROLE), escape(b["role"]), F.lit(TEXT)), no))
-        return F.concat(head, F.flatten(texts), F.array(piece(F.lit(END), no)))
-
-    parts = chats.select("conv_id", F.flatten(F.transform(blocks, pieces)).alias("parts"))
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(1).cast("long").alias("at"), empty.alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + F.char_length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), F.char_length(p["text"]).cast("long").alias("length")))))
-            .otherwise(s["spans"]).alias("spans"),
-        ),
-    )
-    return parts.select("conv_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"), spans["spans"].alias("loss_spans"))
+    # where a block of one role begins and ends is seen from a turn's neighbours, so work is linear in the turns
+    def stretch(t: Column, i: Column) -> Column:
+        begins = (i == 0) | (F.get("turns", i - 1)["role"] != t["role"])
+        ends = (i == F.size("turns") - 1) | (F.get("turns", i + 1)["role"] != t["role"])
+        head = F.when(begins, F.concat(F.lit(BEGIN + ROLE), escape(t["role"]), F.lit(TEXT))).otherwise(F.lit(""))
+        tail = F.when(ends, F.lit(END)).otherwise(F.lit(SEP))
+        return F.struct(head.alias("head"), escape(t["text"]).alias("body"), tail.alias("tail"), (t["role"] == loss_role).alias("loss"), i.alias("turn"))
+
+    parts = chats.select("conv_id", F.transform("turns", stretch).alias("parts"))
+    spans = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["turn"], (F.char_length(p["head"]) + 1).alias("start"), F.char_length(p["body"]).alias("length")))
+    return parts.select("conv_id", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def _quoted(s: str) -> str:
+    return rf"\Q{s}\E"
+
+
+def stretches(formatted: Column) -> Column:
+    """The text cut after each turn, without what ends a turn."""
+    return F.split(formatted, f"{_quoted(END)}|{_quoted(SEP)}", -1)
+
+
+def loss_ranges(chats: DataFrame) -> DataFrame:
+    """conv_id, start, length of each span in the whole text, for readers that count from its beginning."""
+    pieces = chats.select("conv_id", "loss_spans", F.posexplode(F.split("formatted", f"(?<={_quoted(END)})|(?<={_quoted(SEP)})", -1)).alias("turn", "piece"))
+    before = F.sum(F.char_length("piece").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn")) - F.char_length("piece")
+    own = F.explode(F.filter("loss_spans", lambda s: s["turn"] == F.col("turn")))
+    return pieces.withColumn("before", before).select("conv_id", "before", own.alias("s")).select("conv_id", (F.col("before") + F.col("s.start")).alias("start"), F.col("s.length").cast("long").alias("length"))
 
 
 def read_chat(chats: DataFrame) -> DataFrame:
     """``turns`` (role, text) and ``loss_text`` read back from formatted text and mask."""
-    quoted = lambda s: rf"\Q{s}\E"
-    blocks = F.filter(F.split("formatted", quoted(END), -1), lambda b: b != "")
+    blocks = F.filter(F.split("formatted", _quoted(END), -1), lambda b: b != "")
     role = lambda b: unescape(F.substring_index(F.substr(b, F.lit(len(BEGIN + ROLE) + 1)), TEXT, 1))
     body = lambda b: F.substr(b, F.instr(b, TEXT) + len(TEXT))
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.split(body(b), quoted(SEP), -1), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"].cast("int"), s["length"].cast("int"))))
-    return chats.select("*", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    read = lambda b: F.transform(F.array(role(b)), lambda r: F.transform(F.split(body(b), _quoted(SEP), -1), lambda t: F.struct(r.alias("role"), unescape(t).alias("text"))))
+    turns = F.flatten(F.flatten(F.transform(blocks, read)))
+    # bound as a variable, the stretches are cut once and not for each span
+    loss = F.transform(F.array(stretches(F.col("formatted"))), lambda cut: F.array_join(
+        F.transform("loss_spans", lambda s: unescape(F.substr(F.get(cut, s["turn"]), s["start"], s["length"]))), ""))
+    return chats.select("*", turns.alias("turns"), loss[0].alias("loss_text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

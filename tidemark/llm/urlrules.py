@@ -2,14 +2,17 @@
 
 A blocked Bloom filter holds the listed canonical urls (``host/path`` of each
 rule).  A page's candidates are its host's suffixes joined to its path's
-prefixes, of the lengths that occur in the list; those that the filter lets
-through are possible hits, and an exact hash join with the list removes the
-false positives.  The longest rule left decides; a url without one gets
-``default``.
-
-Work is done once per distinct url, so a url or host that a third of all pages
-share costs one row after the map-side combine; the join back to the pages has
-unique urls on its other side and Spark may split a hot one.
+prefixes, of the lengths that occur in the list.  All bits of a key lie in one
+block, so the filter is a table of blocks, and a candidate is looked up by a
+hash join with its block and a test of bits.  Candidates that the filter lets
+through are possible hits; an exact hash join with the list removes the false
+positives.  The longest rule left decides; a url without one gets ``default``.
+
+Candidates are made and tested where the pages are read, by expressions, without
+a shuffle; only the hits of a url are brought together, combined per task first,
+so a url or host that a third of all pages share costs a row of each task.  The
+join back to the pages has unique urls on its other side and Spark may split a
+hot one.
 
 The filter is broadcast; its size is set by ``max_filter_bytes``.  A list too
 long for it at ``bits_per_rule`` gets a fuller filter, which only means more
@@ -19,18 +22,15 @@ to have at most ``MAX_BROADCAST_RULES`` rows.
 Defined cases: null urls and urls without ``://`` have empty host and path and
 match nothing; a rule whose path starts with ``/`` does not fit an empty path;
 rules with null host or path are ignored, of repeated rules the smallest
-verdict counts.
+verdict counts; an empty list leaves every url with ``default``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits, table
+from .common import ascii_lower, fits, table, whole_row
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -44,75 +44,62 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _bits(h: int, n_blocks: int) -> tuple[int, list[int]]:
-    """Block of a 64-bit hash and its bits there, taken from 9 bits of the hash each."""
-    return h % n_blocks, [(h >> (9 * i + 8)) & (BLOCK_BITS - 1) for i in range(HASHES)]
+def _place(key: Column, n_blocks: int) -> Column:
+    """Block of a key and its bits there, 9 bits of its hash each."""
+    h = F.xxhash64(key)
+    bits = [F.shiftrightunsigned(h, 9 * i).bitwiseAND(BLOCK_BITS - 1).cast("int") for i in range(HASHES)]
+    return F.struct(F.pmod(F.xxhash64(h), F.lit(n_blocks)).alias("block"), F.array(*bits).alias("bits"))
 
 
-def bloom_filter(keys: DataFrame, n_blocks: int) -> np.ndarray:
-    """n_blocks x 64 bytes, from the column ``key``: bits are set in tasks, blocks merged by Spark."""
+def bloom_filter(keys: DataFrame, n_blocks: int) -> DataFrame:
+    """block, words: the BLOCK_BITS bits of each block that is not empty, as an array of longs, from the column ``key``."""
+    bits = keys.select(_place(F.col("key"), n_blocks).alias("at")).select("at.block", F.explode("at.bits").alias("bit"))
+    value = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+    words = bits.groupBy("block", (F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(value).alias("value"))
+    held = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias("by"))  # 8 words at most
+    return held.select("block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long"))).alias("words"))
 
-    def mark(batches):
-        for batch in batches:
-            rows = [(b, bit) for k in batch.column(0).to_pylist() for b, bits in [_bits(xxhash.xxh64_intdigest(k.encode()), n_blocks)] for bit in bits]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int64()), "bit": pa.array([r[1] for r in rows], pa.int32())})
 
-    words = keys.select("key").mapInArrow(mark, "block long, bit int")
-    word = (F.col("bit") / 64).cast("int")
-    value = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
-    words = words.select("block", word.alias("word"), value.alias("value")).groupBy("block", "word").agg(F.bit_or("value").alias("value"))
-    bloom = np.zeros((n_blocks, BLOCK_BITS // 64), np.int64)  # at most max_filter_bytes come here
-    for batch in words.toArrow().to_batches():
-        block, place, v = (batch.column(i).to_numpy() for i in range(3))
-        bloom[block, place] = v
-    return bloom.view(np.uint64)
+def let_through(candidates: DataFrame, bloom: DataFrame, n_blocks: int) -> DataFrame:
+    """The rows of ``candidates`` whose ``key`` may be listed."""
+    rows = candidates.select("*", _place(F.col("key"), n_blocks).alias("at")).select(*candidates.columns, F.col("at.block").alias("block"), F.col("at.bits").alias("bits"))
+    is_set = lambda b: F.call_function("shiftright", F.get("words", (b / 64).cast("int")), b % 64).bitwiseAND(F.lit(1).cast("long")) == 1
+    return rows.join(F.broadcast(bloom), "block").where(F.forall("bits", is_set)).select(*candidates.columns)  # max_filter_bytes bounds it
+
+
+def candidate_keys(host: Column, path: Column, host_lengths: list[int], path_lengths: list[int]) -> Column:
+    """The host's suffixes that begin a label, each joined to the path's prefixes."""
+    array = lambda x: F.array(*map(F.lit, x)).cast("array<int>")
+    n = F.char_length(host)
+    whole_labels = lambda k: (k == n) | ((k < n) & (F.substr(host, n - k, F.lit(1)) == "."))
+    hosts = F.transform(F.filter(array(host_lengths), whole_labels), lambda k: F.substr(host, n - k + 1, k))
+    paths = F.transform(F.filter(array(path_lengths), lambda k: k <= F.char_length(path)), lambda k: F.left(path, k))
+    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_filter_bytes: int = 16 << 20, bits_per_rule: int = 16) -> DataFrame:
-    """The columns of ``pages`` with host, path, rule and verdict in a struct ``judged``."""
+    """``page`` (the row as a struct) and ``judged``: its host, path, rule and verdict."""
     listed = rules.where("host IS NOT NULL AND path IS NOT NULL").select("host", "path", F.concat("host", "path").alias("key"), "verdict")
-    n_rules = listed.count()
-    n_blocks = max(1, min(max_filter_bytes * 8, n_rules * bits_per_rule) // BLOCK_BITS)
-    bloom = bloom_filter(listed, n_blocks)
     # lengths of hosts and paths: no more than the longest url has characters
-    sizes = listed.agg(F.collect_set(F.length("host")).alias("h"), F.collect_set(F.length("path")).alias("p")).first()
-    host_lengths, path_lengths = sorted(sizes["h"]), sorted(sizes["p"])
-
-    def possible(host: str, path: str) -> list[str]:
-        out = []
-        for n in host_lengths:
-            if n > len(host) or (n < len(host) and host[len(host) - n - 1] != "."):
-                continue
-            for m in path_lengths:
-                if m > len(path):
-                    break
-                key = host[len(host) - n :] + path[:m]
-                block, bits = _bits(xxhash.xxh64_intdigest(key.encode()), n_blocks)
-                if all(int(bloom[block, b >> 6]) >> (b & 63) & 1 for b in bits):
-                    out.append(key)
-        return out
-
-    def probe(batches):
-        for batch in batches:
-            hits = [possible(h, p) for h, p in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
-            yield pa.RecordBatch.from_pydict({"url": batch.column(0), "keys": pa.array(hits, pa.list_(pa.string()))})
-
+    known = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("host")).alias("h"), F.collect_set(F.length("path")).alias("p")).first()
+    n_blocks = max(1, min(max_filter_bytes * 8, known["n"] * bits_per_rule) // BLOCK_BITS)
     host, path = host_and_path(F.col("url"))
-    hits = pages.select("url").distinct().select("url", host.alias("host"), path.alias("path")).where("host <> ''")
-    hits = hits.mapInArrow(probe, "url string, keys array<string>").select("url", F.explode("keys").alias("key"))
+    parts = pages.select("url", host.alias("host"), path.alias("path")).where("host <> ''")
+    candidates = parts.select("url", F.explode(candidate_keys(F.col("host"), F.col("path"), sorted(known["h"]), sorted(known["p"]))).alias("key"))
+    hits = let_through(candidates, bloom_filter(listed, n_blocks), n_blocks)
     exact = listed.groupBy("key").agg(F.min("verdict").alias("verdict"))
     hits = hits.join(F.broadcast(exact) if fits(exact, MAX_BROADCAST_RULES) else exact, "key")
     best = hits.groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("verdict"))).alias("best"))
-    rows = pages.select(F.struct(*pages.columns).alias("page"), pages["url"].alias("page_url"))
+    rows = pages.select(whole_row(pages).alias("page"), pages["url"].alias("page_url"))
     rows = rows.join(best, F.col("page_url") == F.col("url"), "left")
     host, path = host_and_path(F.col("page_url"))
     judged = F.struct(host.alias("host"), path.alias("path"), F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    return rows.select("page.*", judged.alias("judged"))
+    return rows.select("page", judged.alias("judged"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "judged.*")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page.page_id", "judged.*")
 
 
 SQL = r"""

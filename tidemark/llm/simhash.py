@@ -20,9 +20,10 @@ block has a fingerprint of its own.
 
 1. The few shingles that two near copies do not share lie in few blocks, so by
    the pigeonhole principle they share others whole.  There are more blocks for
-   longer texts (``block_level``) and the first ``BLOCK_KEYS`` of them are
-   joined; texts near a change of their number are joined under both numbers.
-   Of pairs at 0.8 some 99.9 % share a key at worst, of closer ones more.
+   longer texts (``block_level``), short ones are dealt several times, and the
+   first ``BLOCK_KEYS`` blocks are joined; texts near a change of their number
+   are joined under both numbers.  Of pairs at 0.8 some 99.9 % share a key at
+   worst, of closer ones more.
 2. In the join 128-bit fingerprints of the whole texts are compared
    (``FAR`` bits at most; at 0.8 they differ in 20 to 24, by chance in 64).
 3. What is left is compared by whole shingle sets.  First each text of a key
@@ -147,31 +148,38 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def block_level(n: float) -> int:
-    """A text of n shingles has 2 to this number of blocks: 1.5 to 3 shingles each, 3 to 6 where there are more than 32 blocks."""
-    log2 = lambda x: int(x).bit_length() - 1
-    return max(2, min(log2(n / 1.5), max(5, log2(n / 3))))
+    """A text of n shingles has 2 to this number of blocks in a dealing: of 3 to 6 shingles on average, two blocks at least."""
+    return max(1, int(n / 3).bit_length() - 1)
 
 
-def block_keys(hashes: np.ndarray, blocks: int = BLOCK_KEYS) -> np.ndarray:
-    """Of sorted distinct hashes: the fingerprints of their first blocks, mixed with the block's number."""
+def block_keys(hashes: np.ndarray, keys: int = BLOCK_KEYS) -> np.ndarray:
+    """Of sorted distinct hashes: the fingerprints of their first blocks, mixed with the block's number.
+
+    Few blocks are dealt several times, each time by other bits, so that every text has about ``keys`` blocks.
+    """
     n, found = len(hashes), []
-    if not n:
-        return np.zeros(1, np.int64)
     # a copy has n * 0.8 to n / 0.8 shingles; two such texts have one of these numbers of blocks in common
     for level in sorted({block_level(n), block_level(n / SIMILARITY)}):
-        shift = np.uint64(64 - level)
-        h = hashes[: np.searchsorted(hashes, np.uint64(blocks) << shift)] if blocks < 1 << level else hashes
+        shift, deals = np.uint64(64 - level), -(-keys // (1 << level))
+        if deals == 1:
+            h = hashes[: np.searchsorted(hashes, np.uint64(keys) << shift)] if keys < 1 << level else hashes
+            block = h >> shift
+        else:
+            number = np.arange(deals, dtype=np.uint64)[:, None]
+            block = (hashes * (_ODD * (number * np.uint64(2) + np.uint64(1))) >> shift | number << np.uint64(level)).ravel()
+            order = np.argsort(block, kind="stable")
+            h, block = np.tile(hashes, deals)[order], block[order]
         if not len(h):
             continue
-        block = h >> shift
         starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         size = np.diff(np.append(starts, len(h)))
-        few = size <= 255  # a block of more would be that of thousands by chance
-        ones = bit_counts(h, starts)[few].reshape(-1, 64)
-        fp = np.packbits(2 * ones > size[few, None], axis=1, bitorder="little").view("<u8").ravel()
-        key = (fp ^ (block[starts][few] + np.uint64(level << 32)) * _ODD) * np.uint64(0xD6E8FEB86659FD93)
+        # blocks of one shingle say little of texts that have more; blocks of over 255 would be those of thousands, by chance
+        some = (size <= 255) & (size > (n >= 12))
+        ones = bit_counts(h, starts)[some].reshape(-1, 64)
+        fp = np.packbits(2 * ones > size[some, None], axis=1, bitorder="little").view("<u8").ravel()
+        key = (fp ^ (block[starts][some] + np.uint64(level << 32)) * _ODD) * np.uint64(0xD6E8FEB86659FD93)
         found.append(key ^ key >> np.uint64(31))
-    return np.concatenate(found).view(np.int64) if found else np.zeros(1, np.int64)
+    return np.concatenate(found).view(np.int64) if n else np.zeros(1, np.int64)
 
 
 def _keyed(batches):

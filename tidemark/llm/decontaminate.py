@@ -8,9 +8,10 @@ its prefix; where a document holds that shingle the window can only start at
 one place.  Bounds on length and position leave the places where it fits, and
 there the words are compared exactly.
 
-1. Items are read in groups of at most ``MAX_GROUP_WORDS`` words.  A group is
-   what is broadcast, so its size is bounded; more groups mean more passes of
-   the same map over the documents, not a larger broadcast.
+1. Distinct items are read in groups of about ``MAX_GROUP_BYTES`` of text.  A
+   group's windows are what is broadcast, as arrays, so its size is bounded; more
+   groups mean more passes of the same map over the documents, not a larger
+   broadcast.
 2. Every document is read once for the frequencies of the group's shingles,
    combined per task and summed by Spark.
 3. Documents are joined with the prefixes and verified in one map, without a
@@ -35,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, table
+from .common import in_batches, table, whole_row
 
 WINDOW, SHINGLE, SHARE = 13, 5, 20
-MAX_GROUP_WORDS = 1_000_000
+MAX_GROUP_BYTES = 2 << 20
 #: Bytes of words kept: digits, letters and everything beyond ASCII; A-Z is lower-cased, the rest becomes a blank.
 KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 JUDGED = "n_words long, n_hit long, spans array<long>, items array<string>"
@@ -49,28 +50,48 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """Distinct windows of a group of items, as rows of word codes, and their shingles."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
-        self.codes: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.codes.setdefault(w, len(self.codes)) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                holders.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
-        self.rows = list(holders)
-        self.holders = [sorted(holders[r]) for r in self.rows]
-        self.shingle = shingle
-        keys = sorted({key for row in self.rows for key, _ in self.shingles(row)})
-        self.keys = np.array(keys, np.uint64)
-        self.grams = sorted({min(shingle, len(r)) for r in self.rows})
-
-    def shingles(self, row: tuple[int, ...]) -> list[tuple[int, int]]:
-        g = min(self.shingle, len(row))
-        return list(zip(gram_keys(np.array(row), g).tolist(), range(len(row) - g + 1), strict=True))
+    """Distinct windows of a group of items, as rows of word codes, and their shingles; arrays only, so it is cheap to send."""
+
+    def __init__(self, items: pa.Table, window: int, shingle: int):
+        words = [words_of(t.as_py()) for t in items["text"]]
+        coded = pa.chunked_array([pa.array(w, pa.binary()) for w in words], pa.binary()).combine_chunks().dictionary_encode()
+        self.words, self.by_word = coded.dictionary, None
+        self.items, item = np.unique(np.array(items["item"].to_pylist(), object), return_inverse=True)
+        codes, n = coded.indices.to_numpy().astype(np.int32), np.array([len(w) for w in words], np.int64)
+        begin = np.cumsum(n) - n
+        rows, holders, self.shingles, at = [], [], [], 0
+        for length in np.unique(np.minimum(n[n > 0], window)).tolist():
+            own = np.flatnonzero(n >= window) if length == window else np.flatnonzero(n == length)
+            many = n[own] - length + 1
+            owner = np.repeat(own, many)
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + begin[owner]
+            every = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, length)[start])
+            distinct, which = np.unique(every.view(f"V{4 * length}").ravel(), return_inverse=True)
+            distinct = distinct.view(np.int32).reshape(-1, length)
+            rows.append(distinct)
+            self.shingles.append(gram_keys(distinct.T, min(shingle, length)).T)
+            holders.append(np.unique((at + which) * len(self.items) + item[owner]))
+            at += len(distinct)
+        held = np.concatenate([np.empty(0, np.int64), *holders])
+        self.held_items = held % max(1, len(self.items))
+        self.held_at = np.searchsorted(held // max(1, len(self.items)), np.arange(at + 1))
+        self.length = np.concatenate([np.empty(0, np.int64), *(np.full(len(r), r.shape[1]) for r in rows)])
+        self.flat = np.concatenate([np.empty(0, np.int32), *(r.ravel() for r in rows)])
+        self.flat_at = np.concatenate([[0], np.cumsum(self.length)])
+        self.keys = np.unique(np.concatenate([np.empty(0, np.uint64), *(k.ravel() for k in self.shingles)]))
+        self.grams = sorted({min(shingle, r.shape[1]) for r in rows})
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"by_word": None}
 
     def code(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        if self.by_word is None:  # once in each Python worker
+            self.by_word = {w: i for i, w in enumerate(self.words.to_pylist())}
+        return np.fromiter(map(self.by_word.get, words, repeat(-1)), np.int64, len(words))
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        own = [self.held_items[self.held_at[w] : self.held_at[w + 1]] for w in np.unique(windows)]
+        return self.items[np.unique(np.concatenate(own))].tolist() if own else []
 
     def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document that hold a listed shingle, and which."""
@@ -90,16 +111,19 @@ class Windows:
 
     def take_prefixes(self, counts: np.ndarray) -> None:
         """The rarest shingle of each window, ties to the smaller key; then by shingle: windows and offsets."""
-        prefix = []
-        for w, row in enumerate(self.rows):
-            best = min((counts[k], key, off, k) for key, off in self.shingles(row) for k in [int(np.searchsorted(self.keys, np.uint64(key)))])
-            prefix.append((best[3], w, best[2]))
-        table = np.array(sorted(prefix), np.int64).reshape(-1, 3)
-        self.window_of, self.offset_of = table[:, 1], table[:, 2]
-        self.first = np.searchsorted(table[:, 0], np.arange(len(self.keys) + 1))
-        self.length = np.array([len(r) for r in self.rows], np.int64)
-        self.flat_at = np.concatenate([[0], np.cumsum(self.length)])
-        self.flat = np.array([c for r in self.rows for c in r], np.int64)
+        rank = np.empty(len(self.keys), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(self.keys))  # keys are sorted already
+        key, offset = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for each in self.shingles:
+            k = np.searchsorted(self.keys, each)
+            best = np.argmin(rank[k], axis=1)
+            offset.append(best)
+            key.append(k[np.arange(len(k)), best])
+        key, offset = np.concatenate(key), np.concatenate(offset)
+        self.window_of = np.argsort(key, kind="stable")
+        self.offset_of = offset[self.window_of]
+        self.first = np.searchsorted(key[self.window_of], np.arange(len(self.keys) + 1))
+        self.shingles = []
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """start, window of every occurrence: prefix join, bounds, exact comparison."""
@@ -123,20 +147,20 @@ class Windows:
 def gram_keys(ids: np.ndarray, g: int) -> np.ndarray:
     """A 64-bit key for each run of g codes; equal runs have equal keys, others are told apart later."""
     x = ids.astype(np.uint64) + np.uint64(1)
-    key = np.full(max(0, len(ids) - g + 1), g, np.uint64)
+    key = np.full((max(0, len(ids) - g + 1), *ids.shape[1:]), g, np.uint64)
     for j in range(g):
         key = (key ^ x[j : j + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return key
 
 
-def _groups(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+def _groups(benchmark: DataFrame) -> tuple[int, Iterator[pa.Table]]:
     """The number of groups and each group in turn; one is held at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + size // (2 * MAX_GROUP_WORDS)  # a word and its end are two characters at least
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + size // MAX_GROUP_BYTES
     part = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return n, ([(r["item"], r["text"]) for r in part.where(F.col("part") == i).toLocalIterator()] for i in range(n))
+    return n, (part.where(F.col("part") == i).select("item", "text").toArrow() for i in range(n))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -146,7 +170,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     """
     spark = in_batches(docs).sparkSession
     fields = [*docs.columns]
-    rows = docs.select(F.struct(*fields).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+    rows = docs.select(whole_row(docs).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                        F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
     n_groups, groups = _groups(benchmark)
     for i, items in enumerate(groups):
@@ -185,7 +209,7 @@ def _judge(held, out: list[str]):
         np.add.at(edge, np.array(spans[1::2], np.int64), -1)
         hit = np.cumsum(edge) > 0
         turns = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
-        return len(ids), int(hit.sum()), turns.tolist(), sorted({*items, *(x for i in np.unique(w) for x in listed.holders[i])})
+        return len(ids), int(hit.sum()), turns.tolist(), sorted({*items, *listed.items_of(w)})
 
     def run(batches):
         listed = held.value

@@ -2,57 +2,117 @@
 
 A network predicts every token from the two tokens on either side of it; a
 document's score is the sum of the log-probabilities of its tokens given their
-neighbours.
-
-1. Words of all documents are counted (per batch, then by Spark); the ``TOP``
-   most frequent have an id of their own, all others one of ``BUCKETS`` by hash.
-2. In each of ``ROUNDS`` rounds every task starts from the same weights and
-   trains on all tokens of its documents in numpy; Spark averages the tasks'
-   weights by their tokens, in two levels.
-3. Every document is scored in one map.
-
-The output layer is a product: the word's class (of ``CLASSES``), then the word
-in its class, so a token costs two small softmaxes instead of one over all ids.
-
-What leaves a task is its word counts and one set of weights, so what is
-gathered follows the input; what is broadcast is one vocabulary and one set of
-weights, of a fixed size.  Texts are processed in runs of ``STEP`` tokens.
-
-Defined cases: null and texts without words have no tokens and score 0; repeated
-rows are scored alike; words of over 64 bytes always go to a bucket; an empty
-table gives no rows.
+neighbours.  Tokens are what white space separates, A-Z lower-cased.
+
+1. Words of all documents are counted (per batch, then by Spark) into a table
+   that grows with the corpus.  The ``TOP`` most frequent have an id of their
+   own, all others one of ``BUCKETS`` by hash.  The probability of such a word
+   is that of its bucket, by the network, times its share of the bucket's
+   occurrences, by the table, so no two words are taken for each other.
+2. The network starts at the frequencies of its ids.  Documents are dealt by hash
+   to lots of about ``LOT_TOKENS`` tokens; in every round each lot is trained in
+   numpy from the same weights, and Spark averages the lots' weights by their
+   tokens, in a tree.  The first round takes a share of the documents, the last
+   one all.  Lots and their order follow from the documents alone, so the number
+   of files or executors does not change a score.
+3. Every document is scored in one map.  The shares of the ``HELD`` most frequent
+   words are broadcast; the rarer ones of each document are joined with the
+   table, where by their rarity no key is hot.
+
+The output layer is a product: the id's class (of ``CLASSES``), then the id in
+its class, so a token costs two small softmaxes instead of one over all ids.
+
+What leaves a task is its word counts and one set of weights for each lot, so
+what is gathered follows the input; what is broadcast is of a bounded size.
+Texts are processed in runs of ``STEP`` tokens.
+
+Defined cases: null, empty and blank texts have no tokens and score 0; repeated
+rows are scored alike and those equal in doc_id and text are of one lot; words
+of over 64 bytes count by a digest; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections import Counter
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, table
-from .decontaminate import words_of
+from .common import in_batches, saved, table
 
-TOP, BUCKETS, CLASSES = 3584, 512, 64
+TOP, BUCKETS, CLASSES = 1792, 256, 32
 IDS = TOP + BUCKETS
 SIZE = IDS // CLASSES
 SIDE, EMBED, HIDDEN = 2, 8, 24
-ROUNDS, STEP, RATE, SEED = 1, 16_384, 0.1, 5
+STEP, RATE, SEED = 16_384, 0.1, 5
+#: Share of the documents in each round: one of so many.
+ROUNDS = (16, 1)
 SHAPES = {"embed": (IDS + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, SIZE), "bw": (CLASSES, SIZE)}
-#: Words that a task counts before it gives them out; lots of tasks whose most frequent words are merged.
-COUNTED, LOTS = 500_000, 64
-#: Weights are averaged in pieces of so many numbers.
-PIECE, SPREAD = 1 << 15, 32
+#: Words that a task counts before it gives them out; words whose counts are broadcast, at most; tokens of a lot.
+COUNTED, HELD, LOT_TOKENS = 500_000, 400_000, 1_000_000
+#: Weights are averaged in pieces of so many numbers, so many lots at a time.
+PIECE, SPREAD = 1 << 12, 32
+#: Words are sorted into so many classes of frequency to each doubling.
+FINE = 8
 
 Weights = dict[str, np.ndarray]
 
 
-def first_weights() -> Weights:
+def words_of(text: str | None) -> list[bytes]:
+    """``bytes.lower`` and ``bytes.split`` treat exactly A-Z and the characters \\x20 \\x09-\\x0D."""
+    words = (text or "").encode().lower().split()
+    if max(map(len, words), default=0) > 64:
+        words = [w if len(w) <= 64 else b"\0" + hashlib.blake2b(w, digest_size=16).digest() for w in words]
+    return words
+
+
+class Vocabulary:
+    """The words with an id or a share that is held, and how often each id occurs.  Sent as arrays."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, buckets: np.ndarray):
+        """``words`` by falling frequency; ``buckets``: occurrences of all words by bucket."""
+        self.words, self.place = pa.array(words, pa.binary()), None
+        bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
+        rest = (buckets - np.bincount(bucket[:TOP], counts[:TOP], BUCKETS)).astype(float)
+        top = np.append(counts[:TOP], np.zeros(max(0, TOP - len(words))))
+        self.frequency = np.append(top, rest)
+        self.ids = np.append(np.arange(min(TOP, len(words))), TOP + bucket[TOP:])
+        self.shares = np.append(np.zeros(min(TOP, len(words))), np.log(counts[TOP:] / rest[bucket[TOP:]]))
+        self.rest = rest
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None}
+
+    def tokens(self, text: str | None) -> tuple[np.ndarray, float, list[bytes]]:
+        """Ids of a text, the sum of the shares that are held, and the words whose share is not."""
+        if self.place is None:  # once in each Python worker
+            self.place = {w: i for i, w in enumerate(self.words.to_pylist())}
+        words = words_of(text)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        others = np.flatnonzero(at < 0).tolist()
+        if not len(self.ids):
+            return np.array([TOP + zlib.crc32(w) % BUCKETS for w in words], np.int64), 0.0, words
+        ids = self.ids[at]
+        rare = [words[i] for i in others]
+        ids[others] = [TOP + zlib.crc32(w) % BUCKETS for w in rare]
+        return ids, float(self.shares[at[at >= 0]].sum()), rare
+
+
+def first_weights(frequency: np.ndarray | None = None) -> Weights:
+    """Small random weights; biases that give each id its frequency."""
     rng = np.random.default_rng(SEED)
-    return {k: (np.zeros(s) if k[0] == "b" else rng.standard_normal(s) * (0.1 if k == "embed" else s[-2] ** -0.5)).astype(np.float32) for k, s in SHAPES.items()}
+    w = {k: (np.zeros(s) if k[0] == "b" else rng.standard_normal(s) * (0.1 if k == "embed" else s[-2] ** -0.5)) for k, s in SHAPES.items()}
+    if frequency is not None:
+        n = (frequency + 0.5).reshape(CLASSES, SIZE)
+        w["bc"], w["bw"] = np.log(n.sum(axis=1) / n.sum()), np.log(n / n.sum(axis=1, keepdims=True))
+        w["wc"], w["ww"] = w["wc"] / 10, w["ww"] / 10
+    return {k: v.astype(np.float32) for k, v in w.items()}
 
 
 def flat(w: Weights) -> np.ndarray:
@@ -64,10 +124,6 @@ def unflat(x: np.ndarray) -> Weights:
     return {k: p.reshape(s) for (k, s), p in zip(SHAPES.items(), np.split(x.astype(np.float32), ends[:-1]), strict=True)}
 
 
-def token_ids(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    return np.array([i if (i := ids.get(w)) is not None else TOP + zlib.crc32(w) % BUCKETS for w in words_of(text)], np.int64)
-
-
 def windows(tokens: np.ndarray) -> np.ndarray:
     """n x 4: the two tokens before and after each; beyond the ends stands IDS."""
     p = np.concatenate([np.full(SIDE, IDS), tokens, np.full(SIDE, IDS)])
@@ -137,11 +193,11 @@ def train(w: Weights, runs, rate: float = RATE) -> tuple[Weights, int]:
     return w, seen
 
 
-def _runs(texts, ids: dict[bytes, int]):
+def _runs(texts, vocabulary: Vocabulary):
     """Batches of STEP tokens and their windows; windows do not cross documents."""
     held, size = [], 0
     for text in texts:
-        tokens = token_ids(text, ids)
+        tokens, _, _ = vocabulary.tokens(text)
         around = windows(tokens)
         for i in range(0, len(tokens), STEP):
             held.append((tokens[i : i + STEP], around[i : i + STEP]))
@@ -155,8 +211,7 @@ def _runs(texts, ids: dict[bytes, int]):
 
 def _count(batches):
     def give(seen):
-        words = [w for w in seen if len(w) <= 64]
-        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array([seen[w] for w in words], pa.int64())})
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
     seen = Counter()
     for batch in batches:
@@ -168,68 +223,89 @@ def _count(batches):
     yield give(seen)
 
 
-def vocabulary(texts: DataFrame) -> dict[bytes, int]:
-    counts = texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # the best of each lot of tasks first, so that what reaches the driver does not grow with the number of tasks
-    lots = Window.partitionBy("lot").orderBy(F.desc("n"), "word")
-    counts = counts.withColumn("lot", F.spark_partition_id() % LOTS).withColumn("place", F.row_number().over(lots)).where(F.col("place") <= TOP)
-    return {bytes(r["word"]): i for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(TOP).collect())}
-
-
-MEANS = "piece int, part int, n long, x binary"
-
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, n: every word of the corpus."""
+    return in_batches(texts).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def _mean(level: int):
-    """Mean of the weights of a group, by tokens; in the order of parts, so that sums agree between runs."""
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("part")
-        n, total = 0, 0.0
-        for k, x in zip(group["n"].to_pylist(), group["x"], strict=True):
-            total = total + np.frombuffer(x.as_py(), np.float32).astype(float) * k
-            n += k
-        part = group["part"][0].as_py() // SPREAD if level else 0
-        return pa.table({"piece": group["piece"][:1], "part": pa.array([part], pa.int32()), "n": [n], "x": pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())})
+def vocabulary(counts: DataFrame, held: int = HELD) -> Vocabulary:
+    """The most frequent words, ``held`` at most unless the first class of frequency has more; few words stay behind."""
+    grade = F.floor(F.log2("n") * FINE)
+    grades = counts.groupBy(grade.alias("grade")).count().collect()  # some hundreds
+    least, total = math.inf, 0
+    for r in sorted(grades, key=lambda r: -r["grade"]):
+        total += r["count"]
+        if total > held and least < math.inf:
+            break
+        least = r["grade"]
+    found = counts.where(grade >= least).select("word", "n").toArrow() if grades else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    rows = sorted(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+    buckets = np.zeros(BUCKETS)
+    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        buckets[r["bucket"]] = r["n"]
+    return Vocabulary([w for w, _ in rows], np.array([n for _, n in rows], float), buckets)
 
-    return run
 
+MEANS = "piece int, part int, n long, x binary"
 
-def one_round(texts: DataFrame, ids, weights: Weights) -> Weights:
-    """Every task trains on its documents from ``weights``; the mean of what they reach."""
-    held = texts.sparkSession.sparkContext.broadcast(weights)
 
-    def local(batches):
-        from pyspark import TaskContext
+def _mean(group: pa.Table) -> pa.Table:
+    """Mean of the weights of a group, by tokens; in the order of parts, so that sums agree between runs."""
+    group = group.sort_by("part")
+    n, total = 0, 0.0
+    for k, x in zip(group["n"].to_pylist(), group["x"], strict=True):
+        total = total + np.frombuffer(x.as_py(), np.float32).astype(float) * k
+        n += k
+    part = group["part"][0].as_py() // SPREAD
+    return pa.table({"piece": group["piece"][:1], "part": pa.array([part], pa.int32()), "n": [n], "x": pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())})
+
+
+def one_round(docs: DataFrame, words, weights: Weights, lots: int) -> Weights:
+    """Every lot is trained on its documents from ``weights``; the mean of what they reach."""
+    held = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def train_lots(batches):
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for lot, own in groupby(rows, key=lambda r: r[0]):
+            w, n = train(held.value, _runs((t.as_py() for _, t in own), words.value))
+            if n:
+                x = flat(w)
+                pieces = [x[i : i + PIECE].tobytes() for i in range(0, len(x), PIECE)]
+                k = len(pieces)
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(k), pa.int32()), "part": pa.array([lot] * k, pa.int32()), "n": pa.array([n] * k, pa.int64()), "x": pa.array(pieces, pa.binary())})
+
+    name = F.xxhash64("doc_id", "text")
+    dealt = docs.select(F.pmod(F.xxhash64(name), F.lit(lots)).cast("int").alias("lot"), "text", name.alias("name"))
+    dealt = in_batches(dealt.repartition("lot").sortWithinPartitions("lot", "name")).select("lot", "text")
+    means = dealt.mapInArrow(train_lots, MEANS)
+    for _ in range(max(1, math.ceil(math.log(max(2, lots), SPREAD)))):
+        means = means.groupBy("piece", F.floor(F.col("part") / SPREAD).alias("of")).applyInArrow(_mean, MEANS)
+    rows = means.orderBy("piece").collect()  # one set of weights
+    return unflat(np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows])) if rows else weights
 
-        w, n = train(held.value, _runs((t.as_py() for b in batches for t in b.column(0)), ids.value))
-        if n:
-            x = flat(w)
-            pieces = [x[i : i + PIECE].tobytes() for i in range(0, len(x), PIECE)]
-            k = len(pieces)
-            yield pa.RecordBatch.from_pydict({
-                "piece": pa.array(range(k), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * k, pa.int32()), "n": pa.array([n] * k, pa.int64()), "x": pa.array(pieces, pa.binary())})
 
-    parts = texts.mapInArrow(local, MEANS)
-    few = parts.groupBy("piece", (F.col("part") / SPREAD).cast("int").alias("lot")).applyInArrow(_mean(1), MEANS)
-    rows = few.groupBy("piece").applyInArrow(_mean(0), MEANS).orderBy("piece").collect()  # one set of weights
-    return unflat(np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows])) if rows else weights
+def trained(docs: DataFrame, words, rounds: tuple[int, ...] = ROUNDS) -> Weights:
+    """Weights after rounds over one of so many documents each, chosen by hash."""
+    weights = first_weights(words.value.frequency)
+    tokens = float(words.value.frequency.sum())
+    for share in rounds:
+        some = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(share)) == 0)
+        weights = one_round(some, words, weights, max(1, round(tokens / share / LOT_TOKENS)))
+    return weights
 
 
-def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS, held_words: int = HELD) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood of each row."""
-    sc = in_batches(docs).sparkSession.sparkContext
-    texts = docs.select("text")
-    ids = sc.broadcast(vocabulary(texts))
-    weights = first_weights()
-    for _ in range(rounds):
-        weights = one_round(texts, ids, weights)
-    held = sc.broadcast(weights)
+    sc = docs.sparkSession.sparkContext
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    counts = saved(word_counts(docs.select("text")), "words")
+    words = sc.broadcast(vocabulary(counts, held_words))
+    held = sc.broadcast(trained(docs, words, rounds))
 
     def score(batches):
         for batch in batches:
-            n, total = [], []
+            n, rare, sums = [], [], np.zeros(batch.num_rows)
             pending, size = [], 0
-            sums = np.zeros(batch.num_rows)
 
             def flush(pending, sums):
                 tokens, around = map(np.concatenate, zip(*((t, a) for _, t, a in pending), strict=True))
@@ -237,8 +313,10 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 np.add.at(sums, owner, log_probs(held.value, tokens, around))
 
             for i, text in enumerate(batch.column(1)):
-                tokens = token_ids(text.as_py(), ids.value)
+                tokens, shares, others = words.value.tokens(text.as_py())
                 n.append(len(tokens))
+                rare.append(others)
+                sums[i] += shares
                 around = windows(tokens)
                 for j in range(0, len(tokens), STEP):
                     pending.append((i, tokens[j : j + STEP], around[j : j + STEP]))
@@ -248,10 +326,14 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         pending, size = [], 0
             if pending:
                 flush(pending, sums)
-            total = sums
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"])
-
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "part", "rare"])
+
+    rows = in_batches(docs).mapInArrow(score, "doc_id long, n_tokens long, part double, rare array<binary>")
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so the numbers stay
+    rest = F.element_at(F.array(*(F.lit(float(x)) for x in words.value.rest)), (F.crc32("word") % BUCKETS + 1).cast("int"))
+    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word")
+    shares = rare.groupBy("row").agg(F.sum(F.log(F.col("n") / rest)).alias("shares"))
+    rows = rows.join(shares, "row", "left").select("doc_id", "n_tokens", (F.col("part") + F.coalesce("shares", F.lit(0.0))).alias("log_likelihood"))
     return rows.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
 
 

@@ -36,9 +36,17 @@ def test_sample(spark, tmp_path):
 
 
 def test_export_and_resume(spark, tmp_path, url):  # noqa: F811
-    given = ["export", "--url", f"{url}/api", "--assets-url", f"{url}/assets?pageSize=1", "--start-ym", "2024-01", "--outdir", str(tmp_path / "o"), "--group", "bombas", "--only", "n0,n1"]
-    assert cli.export(spark, cli.arguments([*given, "--end-ym", "2024-01"])) == 3
+    (tmp_path / "h.json").write_text('{"X-Authorization": "me"}')
+    given = ["export", "--url", url, "--start-ym", "2024-01", "--outdir", str(tmp_path / "o"), "--only", "n0", "--asset-type", "bombas=Pumps", "--headers", str(tmp_path / "h.json")]
+    assert cli.export(spark, cli.arguments([*given, "--end-ym", "2024-01"])) == 6  # three assets of two groups
+    rows = spark.read.csv(str(tmp_path / "o"), header=True)
+    n = rows.count()
+    # one asset has no points: its months leave no rows but count as fetched
+    assert n == 2 * 2 * 4 and {r["asset"] for r in rows.collect()} == {"n0"}
     assert cli.export(spark, cli.arguments([*given, "--end-ym", "2024-01", "--resume"])) == 0
+    assert cli.export(spark, cli.arguments([*given, "--end-ym", "2024-02", "--resume", "--groups", "bombas"])) == 3
+    assert cli.export(spark, cli.arguments([*given, "--end-ym", "2024-01"])) == 6  # again: replaced, not doubled
+    assert spark.read.csv(str(tmp_path / "o"), header=True).where("month = 1").count() == n
 
 
 def test_contract(spark):

@@ -18,12 +18,14 @@ class Service(BaseHTTPRequestHandler):
         at, q = urlparse(self.path), parse_qs(urlparse(self.path).query)
         if at.path == "/api/auth/user":
             out = {"customerId": {"id": self.headers["X-Authorization"]}}
-        elif at.path == "/assets":
+        elif at.path == "/assets" or at.path == "/api/customer/me/assets":
             page = int(q["page"][0])
             out = {"data": [{"id": {"id": f"a{page}{i}"}, "name": f"n{i}", "label": None} for i in range(int(q["pageSize"][0]))], "hasNext": page < 2}
         else:
-            start = int(q["startTs"][0])
-            out = {k: [{"ts": start + i, "value": i} for i in (0, 1, 1)] for k in q["keys"][0].split(",")}
+            # a point at the start of each second of the first two and two a millisecond later; asset a10 has none
+            start, end = int(q["startTs"][0]), int(q["endTs"][0])
+            times = [t for t in range(start, min(end, start + 1999) + 1) for _ in range(2) if t % 1000 == 1] + [t for t in range(start, min(end, start + 1999) + 1) if t % 1000 == 0]
+            out = {} if "/a10/" in at.path else {k: [{"ts": t, "value": t % 1000} for t in sorted(times)][: int(q["limit"][0])] for k in q["keys"][0].split(",")}
         body = json.dumps(out).encode()
         self.send_response(200)
         self.end_headers()
@@ -52,6 +54,8 @@ def test_series(spark, url):
     spark.dataSource.register(rest.TelemetryService)
     work = [{"asset_id": "x y", "year": 2024, "month": m, "start_ms": 1000 * m, "end_ms": 1000 * m + 999} for m in (1, 2)]
     rows = spark.read.format("telemetry_service").options(url=f"{url}/api", keys="b,a", work=json.dumps(work), limit="3").load()
-    assert rows.rdd.getNumPartitions() == 2 and rows.count() == 12 and rows.where("truncated").count() == 12
+    assert rows.rdd.getNumPartitions() == 2 and rows.count() == 12 and rows.where("truncated").count() == 0
+    cut = spark.read.format("telemetry_service").options(url=f"{url}/api", keys="b,a", work=json.dumps(work), limit="2").load()
+    assert sorted({r["ts"] for r in cut.where("truncated").collect()}) == [1001, 2001]
     wide = payload.widen(rows, ["a", "b"], ["asset_id", "year", "month"]).orderBy("ts").collect()
     assert [(r["asset_id"], r["month"], r["ts"], r["a"], r["b"]) for r in wide] == [("x y", 1, 1000, "0", "0"), ("x y", 1, 1001, "1", "1"), ("x y", 2, 2000, "0", "0"), ("x y", 2, 2001, "1", "1")]

@@ -214,6 +214,17 @@ def test_epoch_units(spark, unit, strategy):
     assert good == [datetime(2023, 11, 14, 22, 13, 20) + timedelta(seconds=i) for i in range(5)]
 
 
+def test_unit_is_that_of_the_median(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    groups = {f"g{i}": rng.choice([5.0, 1e8 - 2, 1e8, 1e8 + 4, 1e11, 3e11, 1e14], rng.integers(1, 8)).tolist() for i in range(60)}
+    rows = spark.createDataFrame([(repr(x), g) for g, xs in groups.items() for x in xs], "c string, _file string")
+    got = dict(collected(csvs.parsed_times(rows, "c").select("_file", "strategy").distinct()))
+    unit = lambda m: next((n for n, at in scalars.EPOCH_UNITS if m >= at), "epoch_ns")
+    assert got == {g: unit(np.median(xs)) for g, xs in groups.items()}
+
+
 def test_months(spark):
     got = collected(calendar.month_spans(spark, "2025-01-20", "2025-02-10"))
     assert got == [(datetime(2025, 1, 1), datetime(2025, 1, 31, 23, 59, 59, 999000)), (datetime(2025, 2, 1), datetime(2025, 2, 10))]
@@ -299,12 +310,16 @@ def test_csv_series_with_unlike_headers(spark, tmp_path):
     write(tmp_path / "x" / "none.csv", "foo,bar\n1,2\n")
     write(tmp_path / "x" / "empty.csv", "")
     write(tmp_path / "x" / "lost.csv", "ts\nnever\n")
+    write(tmp_path / "x" / "head.csv", "ts,nivelPorcentual\n")
+    write(tmp_path / "Twice" / "twice_1.csv", "ts,x,X,nivelPorcentual\n1700000000,a,b,5\n")
     scan = csvs.read_series(spark, str(tmp_path))
     rows = sorted(collected(scan.rows.select("asset_id", "timestamp", "nivelPorcentual", "nivelEstanque")))
     t = datetime(2023, 11, 14, 22, 13, 20)
-    assert rows == [("T1", t, 10.0, 1.5), ("Tank 1", t + timedelta(minutes=1), 11.0, None), ("Tank+2", t, 7.0, None), ("Tank+2", t + timedelta(minutes=1), None, None)]
+    assert rows == [("T1", t, 10.0, 1.5), ("Tank 1", t + timedelta(minutes=1), 11.0, None), ("Tank+2", t, 7.0, None), ("Tank+2", t + timedelta(minutes=1), None, None), ("Twice", t, 5.0, None)]
     files = {f.rsplit("/", 1)[1]: (s, n, bad) for f, s, n, bad, _ in collected(scan.files)}
-    assert files == {"a_2024.csv": ("epoch_ms", 3, 1), "b_2024.csv": ("epoch_s", 2, 0)}
+    assert files == {"a_2024.csv": ("epoch_ms", 3, 1), "b_2024.csv": ("epoch_s", 2, 0), "twice_1.csv": ("epoch_s", 1, 0)}
+    skipped = {f.rsplit("/", 1)[1]: why for f, why in collected(scan.skipped)}
+    assert skipped == {"none.csv": "no time column", "empty.csv": "empty", "lost.csv": "no readable time", "head.csv": "no rows, or corrupt ones"}
     assert reports.strategy(scan.files).first()["strategy"] == "mixed"
     empty = tmp_path / "nothing"
     empty.mkdir()
@@ -326,7 +341,9 @@ def test_wide_files_and_resume(spark, tmp_path):
     writers.write_wide(wide.where("month = 1"), out, "g")
     writers.write_wide(wide.where("month = 2"), out, "g")
     assert sorted(collected(writers.written(spark, out))) == [("g", "L_1", 2024, 1), ("g", "L_1", 2024, 2)]
-    writers.write_wide(wide.where("month = 1").withColumn("k", F.lit("new")), out, "g", overwrite=True)
+    writers.write_wide(wide.where("month = 1").withColumn("k", F.lit("new")), out, "g")
+    writers.mark_fetched(wide.where("month = 2").withColumn("month", F.lit(3)), out, "g")
+    assert writers.written(spark, out).count() == 3 and writers.written(spark, str(tmp_path / "none")) is None
     assert sorted(r["k"] for r in spark.read.csv(out, header=True).collect()) == ["b", "new"]
 
 

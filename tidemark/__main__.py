@@ -17,6 +17,7 @@ from .session import configured
 from .sources import csvs, rest, writers
 
 
+# The names of the options.
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="tidemark")
     kinds = top.add_subparsers(dest="kind", required=True)
@@ -42,13 +43,14 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--round", type=int, dest="digits")
     p.add_argument("--drop-identifiers", action="store_true")
     p = kinds.add_parser("export")
-    p.add_argument("--url", default=os.environ.get("TIDEMARK_URL"))
-    p.add_argument("--assets-url", required=True)
-    p.add_argument("--timezone", default=os.environ.get("TIDEMARK_TIMEZONE", "UTC"))
+    p.add_argument("--url", help="the service; default TIDEMARK_URL")
+    p.add_argument("--asset-type", nargs="+", default=[], metavar="GROUP=TYPE", help="the service's name for the assets of a group; default the group's name")
+    p.add_argument("--timezone", help="default TIDEMARK_TIMEZONE, else UTC")
+    p.add_argument("--headers", help="a JSON file of more request headers")
     p.add_argument("--start-ym", required=True)
     p.add_argument("--end-ym", required=True)
     p.add_argument("--outdir", default="output/monthly")
-    p.add_argument("--group", choices=sorted(GROUP_KEYS), required=True)
+    p.add_argument("--groups", nargs="+", choices=sorted(GROUP_KEYS), default=sorted(GROUP_KEYS))
     p.add_argument("--only", help="names or labels, comma-separated")
     p.add_argument("--resume", action="store_true")
     p.add_argument("--overwrite", action="store_true")
@@ -62,6 +64,7 @@ def report(spark: SparkSession, a: argparse.Namespace) -> dict:
         tables = reports.integrity_report(scan.rows, a.freq_minutes, start, end, a.asset, scan.files)
     else:
         tables = reports.tank_report(scan.rows, 20, start, end, a.asset, tiebreak=(csvs.FILE,))
+    tables["Skipped"] = scan.skipped
     tables["Files"] = scan.files if a.format == "parquet" else scan.files.withColumn("columns", F.array_join("columns", ","))
     writers.write_report(tables, a.output, a.format)
     return tables
@@ -69,44 +72,56 @@ def report(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def sample(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, _, asset = csvs.read_sample_input(spark, a.input)
-    order = ["timestamp"]
     rows = rows.where("timestamp IS NOT NULL")
+    order = ["timestamp", *(f"`{c}`" for c in rows.columns if c != "timestamp")]  # no ties but those of equal rows
     if asset and a.asset_labels:
         rows = sampling.only_assets(rows, asset, a.asset_labels)
     elif asset and a.assets:
         rows = sampling.first_assets(rows, asset, a.assets, order)
     rows = sampling.head(rows, a.max_rows, order, asset)
     if a.digits is not None:
-        numbers = [c for c in rows.columns if c not in ("timestamp", asset) and not rows.where(F.col(f"`{c}`").isNotNull() & scalars.to_number(F.col(f"`{c}`")).isNull()).limit(1).count()]
+        others = [c for c in rows.columns if c not in ("timestamp", asset)]
+        odd = rows.agg(*(F.count(F.when(F.col(f"`{c}`").isNotNull() & scalars.to_number(F.col(f"`{c}`")).isNull(), 1)) for c in others)).first() if others else ()
+        numbers = [c for c, n in zip(others, odd, strict=True) if not n]
         rows = sampling.rounded(rows.withColumns({c: scalars.to_number(F.col(f"`{c}`")) for c in numbers}), a.digits)
     if asset:
         rows = sampling.anonymised(rows, asset, order, a.drop_identifiers)
-    writers.write_samples(rows.orderBy("timestamp"), f"{a.out_dir}/sample_{a.group}", asset)
+    writers.write_samples(rows.orderBy(*order), f"{a.out_dir}/sample_{a.group}", asset)
     given = {"input": a.input, "group": a.group, "max_rows": str(a.max_rows), "round": str(a.digits)}
     writers.write_manifest(sampling.manifest(rows, "timestamp", asset, given), f"{a.out_dir}/manifest")
 
 
 def export(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Fetch what is asked for and not there yet; gives the number of asset-months fetched."""
+    """Fetch what is asked for and not there yet, group by group; gives the number of asset-months fetched."""
     spark.dataSource.register(rest.TelemetryService)
-    headers = json.dumps(dict(h.split(": ", 1) for h in bounds.request_headers(os.environ.get("TIDEMARK_COOKIE"), os.environ.get("TIDEMARK_AUTHORIZATION"))))
-    service = spark.read.format("telemetry_service").option("headers", headers)
-    assets = service.options(kind="assets", url=a.assets_url).load()
+    settings = bounds.Settings.from_env(url=a.url, zone=a.timezone)
+    given = bounds.request_headers(settings.cookie, settings.authorization) + (bounds.headers_from(a.headers) if a.headers else [])
+    headers = dict(h.split(": ", 1) for h in given)
+    kinds = dict(t.split("=", 1) for t in a.asset_type)
+    months = calendar.month_ranges(spark, a.start_ym, a.end_ym, settings.zone).drop("start", "end")
+    return sum(_export_group(spark, a, settings.url.rstrip("/"), headers, group, kinds.get(group, group), months) for group in a.groups)
+
+
+def _export_group(spark: SparkSession, a: argparse.Namespace, base: str, headers: dict[str, str], group: str, kind: str, months) -> int:
+    service = spark.read.format("telemetry_service").option("headers", json.dumps(headers))
+    assets = service.options(kind="assets", url=rest.assets_url(base, headers, kind)).load()
     assets = assets.where(scalars.named(F.col("name"), F.col("label"), bounds.name_list(a.only)))
     assets = assets.select(F.col("id").alias("asset_id"), F.col("name").alias("asset_name"), scalars.label_or_name_or_id(F.col("label"), F.col("name"), F.col("id")).alias("asset_label"))
-    work = calendar.work_list(assets, calendar.month_ranges(spark, a.start_ym, a.end_ym, a.timezone).drop("start", "end"))
+    work = calendar.work_list(assets, months)
     if a.resume and not a.overwrite and (done := writers.written(spark, a.outdir)) is not None:
-        done = done.where(F.col("group") == a.group)
+        done = done.where(F.col("group") == group)
         work = work.withColumn("asset", scalars.sanitize(F.col("asset_label"))).join(done.drop("group"), ["asset", "year", "month"], "left_anti").drop("asset")
     todo = [r.asDict() for r in work.toLocalIterator()]  # a list of requests to make
     if not todo:
         return 0
-    keys = GROUP_KEYS[a.group]
-    points = service.options(kind="series", url=a.url, keys=",".join(keys), work=json.dumps(todo)).load()
-    wide = payload.widen(points, list(keys), ["asset_id", "year", "month"])
-    labels = spark.createDataFrame([(t["asset_id"], t["asset_name"], t["asset_label"]) for t in todo], "asset_id string, asset_name string, asset_label string").distinct()
+    keys = GROUP_KEYS[group]
+    points = service.options(kind="series", url=f"{base}/api/plugins/telemetry/ASSET", keys=",".join(keys), work=json.dumps(todo)).load()
+    whole = F.when(F.col("truncated"), F.raise_error(F.lit("a millisecond holds more points than one answer"))).otherwise(F.col("value"))
+    wide = payload.widen(points.withColumn("value", whole), list(keys), ["asset_id", "year", "month"])
+    asked = spark.createDataFrame([(t["asset_id"], t["asset_name"], t["asset_label"], t["year"], t["month"]) for t in todo], "asset_id string, asset_name string, asset_label string, year int, month int")
     columns = ["asset_id", "asset_name", "asset_label", "year", "month", "ts", *sorted(keys)]
-    writers.write_wide(wide.join(labels, "asset_id").select(columns), a.outdir, a.group, a.overwrite)
+    writers.write_wide(wide.join(asked.select("asset_id", "asset_name", "asset_label").distinct(), "asset_id").select(columns), a.outdir, group)
+    writers.mark_fetched(asked, a.outdir, group)
     return len(todo)
 
 

@@ -51,10 +51,11 @@ class Settings:
     authorization: str | None = None
 
     @classmethod
-    def from_env(cls, prefix: str = "TIDEMARK_") -> Settings:
-        if not (url := os.environ.get(prefix + "URL", "").strip()):
+    def from_env(cls, prefix: str = "TIDEMARK_", url: str | None = None, zone: str | None = None) -> Settings:
+        """What is given comes first."""
+        if not (url := url or os.environ.get(prefix + "URL", "").strip()):
             raise ValueError(f"{prefix}URL is required")
-        zone = os.environ.get(prefix + "TIMEZONE", "UTC")
+        zone = zone or os.environ.get(prefix + "TIMEZONE", "UTC")
         try:
             ZoneInfo(zone)
         except Exception as e:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..roles import NA_TOKENS
 
 MINUTE = 60_000_000  # microseconds
+# The unit of epoch numbers by their median, below all of these nanoseconds.
+EPOCH_UNITS = (("epoch_us", 1e14), ("epoch_ms", 1e11), ("epoch_s", 1e8))
+# Characters that names of files must not hold.
+RESERVED = r'[<>:"/\\|?*\x00-\x1F]+'
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 TIMESTAMP_FORMATS = (
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]",
@@ -35,13 +39,6 @@ def parse_text_timestamp(c: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in TIMESTAMP_FORMATS)).cast("timestamp_ntz")
 
 
-def epoch_strategy(median: Column) -> Column:
-    """Unit of epoch numbers by the median of a file; without numbers, text."""
-    return (
-        F.when(median.isNull(), "string").when(median >= 1e14, "epoch_us").when(median >= 1e11, "epoch_ms").when(median >= 1e8, "epoch_s").otherwise("epoch_ns")
-    )
-
-
 def from_epoch(number: Column, strategy: Column) -> Column:
     """UTC timestamp without zone of an epoch number; NULL beyond the years 1 to 9999."""
     factor = F.when(strategy == "epoch_us", 1.0).when(strategy == "epoch_ms", 1e3).when(strategy == "epoch_s", 1e6).when(strategy == "epoch_ns", 1e-3)
@@ -52,7 +49,7 @@ def from_epoch(number: Column, strategy: Column) -> Column:
 def sanitize(c: Column) -> Column:
     """A text fit for a path: NULL is empty, runs of reserved characters become "_", white space one blank."""
     text = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1F]+', "_"), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(text, RESERVED, "_"), r"\s+", " ")
 
 
 def redact(c: Column) -> Column:

@@ -14,6 +14,7 @@ ENTITIES = f"""struct<cmdId: int, data: struct<data: array<struct<
     entityId: struct<entityType: string, id: string>,
     latest: struct<ENTITY_FIELD: struct<label: {VALUE}, name: {VALUE}>>>>, hasNext: boolean>>"""
 PAGE = "struct<data: array<struct<id: struct<id: string>, name: string, label: string>>, hasNext: boolean>"
+# Fixed value: what a list of types looks like in a message.
 TYPE_LIST = r'"assetTypes"\s*:\s*(\[[^\]]*\])'
 
 

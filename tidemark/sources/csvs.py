@@ -2,11 +2,12 @@
 
 Spark matches CSV columns by position, so files are grouped by header and each
 group is read by itself, all columns as text; the groups are united by name.
-Headers are read by Spark tasks, one line per file.
+Headers are read by Spark tasks, line by line.  Files that give nothing are listed with the reason.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -22,10 +23,11 @@ CORRUPT = "_corrupt_record"
 
 @dataclass(frozen=True)
 class Scan:
-    """``rows``: asset_id, timestamp, levels and file; ``files``: file, strategy, n_rows, n_invalid, columns."""
+    """``rows``: asset_id, timestamp, levels and file; ``files``: file, strategy, n_rows, n_invalid, columns; ``skipped``: file, reason."""
 
     rows: DataFrame
     files: DataFrame
+    skipped: DataFrame
 
 
 def decoded_path(path: Column) -> Column:
@@ -33,37 +35,53 @@ def decoded_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def _first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """path and first line of every file below ``folder``; lines are read, never whole files."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "place").alias("line"))
+    return first.select("path", F.regexp_extract("line", r"^\x{FEFF}?([^\r\n]*)", 1).alias("header"))
+
+
 def headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header, below ``folder``; empty files are left out."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", True).text(folder)
-    first = F.regexp_extract(F.col("value"), r"^\x{FEFF}?([^\r\n]*)", 1)
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), first.alias("header")).where("header <> ''")
+    """Files by header, below ``folder``; files without a line have none and are left out."""
     out: dict[tuple[str, ...], list[str]] = {}
-    for r in rows.orderBy("path").toLocalIterator():
+    for r in _first_lines(spark, folder).where("header <> ''").orderBy("path").toLocalIterator():
         names = tuple(c.strip().strip('"') for c in r["header"].split(","))
         out.setdefault(names, []).append(r["path"])
     return out
 
 
 def _group(spark: SparkSession, names: tuple[str, ...], paths: list[str], drop_corrupt_files: bool) -> DataFrame:
-    """The files of one header: cells as text, and the decoded path."""
-    schema = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
-    rows = spark.read.schema(schema).csv([unquote(p) for p in paths], header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    """The files of one header: cells as text in columns c0, c1, ... (a header may repeat a name), and the decoded path."""
+    cells = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"`{n}` string" for n in [*cells, CORRUPT])
+    rows = spark.read.schema(schema).csv([unquote(p) for p in paths], header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     rows = rows.select("*", decoded_path(F.col("_metadata.file_path")).alias(FILE))
     if drop_corrupt_files:
         bad = rows.groupBy(FILE).agg(F.count(CORRUPT).alias("bad")).where("bad > 0").select(FILE)
         rows = rows.join(bad, FILE, "left_anti")
-    return rows.select(*(scalars.not_available(F.col(f"`{n}`")).alias(n) for n in names), FILE)
+    return rows.select(*(scalars.not_available(F.col(c)).alias(c) for c in cells), FILE)
+
+
+def _median_reaches(x: Column, bound: float) -> Column:
+    """Whether the median of a group is at least ``bound``, from counts and the two values next to the bound."""
+    n, above = F.count(x), F.count(F.when(x >= bound, 1))
+    middle = (F.max(F.when(x < bound, x)) + F.min(F.when(x >= bound, x))) / 2
+    return F.when(2 * above == n, middle >= bound).otherwise(2 * above > n)
 
 
 def parsed_times(rows: DataFrame, column: str, per: str = FILE) -> DataFrame:
-    """Adds timestamp and strategy.  The unit of numbers is that of their file's median."""
+    """Adds timestamp and strategy.  The unit of numbers is that of their file's median, which is found without sorting them."""
     number = scalars.to_number(F.col(column))
-    medians = rows.groupBy(per).agg(F.percentile(number, F.lit(0.5)).alias("_median"))
-    rows = rows.join(medians.withColumnRenamed(per, "_per"), F.col(per).eqNullSafe(F.col("_per"))).drop("_per")
-    strategy = scalars.epoch_strategy(F.col("_median"))
+    units = rows.groupBy(per).agg(F.count(number).alias("_n"), *(_median_reaches(number, at).alias(f"_{name}") for name, at in scalars.EPOCH_UNITS))
+    rows = rows.join(units.withColumnRenamed(per, "_per"), F.col(per).eqNullSafe(F.col("_per"))).drop("_per")
+    strategy = F.when(F.col("_n") == 0, "string")
+    for name, _ in scalars.EPOCH_UNITS:
+        strategy = strategy.when(F.col(f"_{name}"), name)
+    strategy = strategy.otherwise("epoch_ns")
     at = F.when(strategy == "string", scalars.parse_text_timestamp(F.col(column))).otherwise(scalars.from_epoch(number, strategy))
-    return rows.withColumns({"timestamp": at, "strategy": strategy}).drop("_median")
+    return rows.withColumns({"timestamp": at, "strategy": strategy}).drop("_n", *(f"_{name}" for name, _ in scalars.EPOCH_UNITS))
 
 
 def asset_ids(rows: DataFrame, label: str | None) -> Column:
@@ -76,28 +94,44 @@ def asset_ids(rows: DataFrame, label: str | None) -> Column:
 
 
 def read_series(spark: SparkSession, folder: str, levels: bool = True, drop_corrupt_files: bool = False) -> Scan:
-    """The series of all CSV files below ``folder``; rows without a readable time are counted and dropped, files without a time column skipped."""
+    """The series of all CSV files below ``folder``; rows without a readable time are counted and dropped, files without one listed."""
     found = headers(spark, folder)
     every = [*LEVELS] if levels else []
     rows = None
     for names in sorted(found):
         time = find_column(list(names), TIMESTAMP_NAMES)
-        if time is None or len({n.lower() for n in names}) < len(names):
-            continue  # no time, or a header that repeats a name
+        if time is None:
+            continue
         group = _group(spark, names, found[names], drop_corrupt_files)
+        cell = lambda name: F.col(f"c{names.index(name)}")  # noqa: B023, E731
         held = level_columns(list(names)) if levels else {}
-        values = [(scalars.to_number(F.col(f"`{held[v]}`")) if v in held else F.lit(None).cast("double")).alias(v) for v in every]
+        values = [(scalars.to_number(cell(held[v])) if v in held else F.lit(None).cast("double")).alias(v) for v in every]
         label = find_column(list(names), (ASSET_LABEL,))
-        part = group.select(asset_ids(group, label).alias("asset_id"), F.col(f"`{time}`").alias("_time"), *values, FILE, F.array(*(F.lit(c) for c in held.values())).cast("array<string>").alias("columns"))
+        part = group.select(asset_ids(group, f"c{names.index(label)}" if label else None).alias("asset_id"), cell(time).alias("_time"), *values, FILE, F.array(*(F.lit(c) for c in held.values())).cast("array<string>").alias("columns"))
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         empty = ", ".join(["asset_id string", "timestamp timestamp_ntz", *(f"{v} double" for v in every), f"{FILE} string"])
-        return Scan(spark.createDataFrame([], empty), spark.createDataFrame([], "file string, strategy string, n_rows long, n_invalid long, columns array<string>"))
-    rows = parsed_times(rows, "_time")
-    files = rows.groupBy(F.col(FILE).alias("file")).agg(
-        F.first("strategy").alias("strategy"), F.count("*").alias("n_rows"), F.count(F.when(F.col("timestamp").isNull(), 1)).alias("n_invalid"), F.first("columns").alias("columns")
-    ).where("n_invalid < n_rows")
-    return Scan(rows.where("timestamp IS NOT NULL").select("asset_id", "timestamp", *every, FILE), files)
+        files = spark.createDataFrame([], "file string, strategy string, n_rows long, n_invalid long, columns array<string>")
+        rows = spark.createDataFrame([], empty)
+    else:
+        rows = parsed_times(rows, "_time")
+        files = rows.groupBy(F.col(FILE).alias("file")).agg(
+            F.first("strategy").alias("strategy"), F.count("*").alias("n_rows"), F.count(F.when(F.col("timestamp").isNull(), 1)).alias("n_invalid"), F.first("columns").alias("columns"))
+    good = files.where("n_invalid < n_rows")
+    return Scan(rows.where("timestamp IS NOT NULL").select("asset_id", "timestamp", *every, FILE), good, _skipped(spark, folder, found, files))
+
+
+def _skipped(spark: SparkSession, folder: str, found: dict[tuple[str, ...], list[str]], files: DataFrame) -> DataFrame:
+    every = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).inputFiles()
+    plain = lambda path: re.sub("^file:/+", "file:/", path)
+    timed = {plain(p): find_column(list(n), TIMESTAMP_NAMES) is not None for n in found for p in found[n]}  # files without a header are in none
+    listed = spark.createDataFrame([(unquote(plain(p)), timed.get(plain(p))) for p in every], "file string, timed boolean")
+    rows = listed.join(files.select(F.regexp_replace("file", "^file:/+", "file:/").alias("file"), "n_rows", "n_invalid"), "file", "left")
+    reason = (
+        F.when(F.col("timed").isNull(), "empty").when(~F.col("timed"), "no time column").when(F.col("n_rows") > F.col("n_invalid"), None)
+        .when(F.col("n_rows") > 0, "no readable time").otherwise("no rows, or corrupt ones")
+    )
+    return rows.select("file", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def read_sample_input(spark: SparkSession, path: str) -> tuple[DataFrame, str, str | None]:

@@ -5,8 +5,9 @@ the points of assets by month.  Each asset and month is a partition, so a task
 that is lost is fetched again by itself.  The work-list is an option (JSON), of
 a size that a person can ask for.
 
-A response with as many points as were asked for may be cut off; its rows have
-``truncated`` set.
+A response with as many points as were asked for may be cut off, so its time is
+halved and fetched again; rows of a single millisecond that is still too full
+have ``truncated`` set.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ def customer_id(base: str, headers: dict[str, str]) -> str:
     return get_json(f"{base}/api/auth/user", headers, 30)["customerId"]["id"]
 
 
+def assets_url(base: str, headers: dict[str, str], kind: str) -> str:
+    """Where the assets of a type are listed, for the customer that a token belongs to."""
+    return f"{base}/api/customer/{customer_id(base, headers)}/assets?type={urllib.parse.quote(kind)}"
+
+
 class Request(InputPartition):
     def __init__(self, url: str, **given):
         self.url, self.given = url, given
@@ -54,19 +60,26 @@ class Reader(DataSourceReader):
             return [Request(base)]
         keys = urllib.parse.quote(self.options["keys"], safe=",")
         limit = int(self.options.get("limit", POINTS))
-        return [
-            Request(f"{base}/{urllib.parse.quote(w['asset_id'])}/values/timeseries?keys={keys}&startTs={w['start_ms']}&endTs={w['end_ms']}&agg=NONE&limit={limit}", limit=limit, **w)
-            for w in json.loads(self.options["work"])
-        ]
+        return [Request(f"{base}/{urllib.parse.quote(w['asset_id'])}/values/timeseries?keys={keys}&agg=NONE&limit={limit}", limit=limit, **w) for w in json.loads(self.options["work"])]
 
     def read(self, part: Request) -> Iterator[tuple]:
         if self.kind == "assets":
             yield from self.pages(part.url)
             return
-        w = part.given
-        for key, points in get_json(part.url, self.headers).items():
-            for at, p in enumerate(points):
-                yield w["asset_id"], w["year"], w["month"], key, at, int(p["ts"]), None if p["value"] is None else str(p["value"]), len(points) >= w["limit"]
+        w, at = part.given, 0
+        for key, p, cut in self.points(part.url, w["start_ms"], w["end_ms"], w["limit"]):
+            yield w["asset_id"], w["year"], w["month"], key, at, int(p["ts"]), None if p["value"] is None else str(p["value"]), cut
+            at += 1
+
+    def points(self, url: str, start: int, end: int, limit: int) -> Iterator[tuple[str, dict, bool]]:
+        found = get_json(f"{url}&startTs={start}&endTs={end}", self.headers)
+        full = any(len(points) >= limit for points in found.values())
+        if full and start < end:
+            middle = (start + end) // 2
+            yield from self.points(url, start, middle, limit)
+            yield from self.points(url, middle + 1, end, limit)
+        else:
+            yield from ((key, p, full) for key, points in found.items() for p in points)
 
     def pages(self, base: str) -> Iterator[tuple]:
         page, size = 0, int(self.options.get("pagesize", PAGE))

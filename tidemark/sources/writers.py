@@ -9,24 +9,36 @@ from pyspark.sql import functions as F
 from ..functions.scalars import sanitize
 
 LAYOUT = ("group", "asset", "year", "month")
+#: A folder that readers of the layout pass over.
+FETCHED = "_fetched"
 
 
-def write_wide(wide: DataFrame, path: str, group: str, overwrite: bool = False) -> None:
-    """One folder for each group, asset, year and month, rows by ts; other months that are there stay."""
+def write_wide(wide: DataFrame, path: str, group: str) -> None:
+    """One folder for each group, asset, year and month, rows by ts; a month that is there is replaced, others stay."""
     rows = wide.select(F.lit(group).alias("group"), sanitize(F.col("asset_label")).alias("asset"), "*")
     rows = rows.repartition("asset", "year", "month").sortWithinPartitions("asset", "year", "month", "ts")
     columns = [c for c in rows.columns if c not in LAYOUT]
     rows = rows.select(*columns, *LAYOUT)
-    writer = rows.write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*LAYOUT).csv(path, header=True)
 
 
+def mark_fetched(work: DataFrame, path: str, group: str) -> None:
+    """Note the asset-months of a work-list as fetched, also those that had no rows and so left no folder."""
+    done = work.select(F.lit(group).alias("group"), sanitize(F.col("asset_label")).alias("asset"), "year", "month")
+    done.write.mode("append").json(f"{path}/{FETCHED}")
+
+
 def written(spark, path: str) -> DataFrame | None:
-    """group, asset, year, month of what is there, from the folders' names alone; None without the folder."""
-    try:
-        return spark.read.option("header", True).csv(path).select(*LAYOUT).distinct()
-    except AnalysisException:
-        return None
+    """group, asset, year, month of what is there, from the folders' names alone and from the notes; None without either."""
+    found = None
+    for rows in (lambda: spark.read.option("header", True).csv(path), lambda: spark.read.schema("`group` string, asset string, year int, month int").json(f"{path}/{FETCHED}")):
+        try:
+            part = rows().select("group", "asset", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"))
+        except AnalysisException:
+            continue
+        found = part if found is None else found.union(part)
+    return found and found.distinct()
 
 
 def write_long(points: DataFrame, path: str) -> None:

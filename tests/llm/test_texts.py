@@ -202,7 +202,7 @@ def test_repeated_strings(spark, texts, monkeypatch, hot, piece, batch):
     monkeypatch.setattr(suffixdedup, "PIECE", piece)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        few = [r for r in texts if r[1] is None or len(r[1]) < 20_000]
+        few = [*texts, *((None, f"{i} " + texts[3][1] * 3) for i in range(30))]  # with the 60,000-word text, and many texts without an id
         docs = spark.createDataFrame(few, DOCS).withColumn("at", F.lit("clash"))
         order = {r["t"]: r["x"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("x")).collect()}
         want = brute_repeats([(i, t, order[t or ""]) for i, t in few])

@@ -21,4 +21,5 @@ SQL = {
     "op4_url_rules": urlrules.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_chat": chat.SQL,
+    "op10_suffix_dedup": suffixdedup.SQL,
 }

@@ -60,7 +60,7 @@ STEP = 1 << 16
 #: Of near copies: words to a shingle, least Jaccard similarity, blocks joined, bits.
 COPY_SHINGLE, SIMILARITY, BLOCK_KEYS, FAR = 5, 0.8, 24, 40
 #: Rounds of leaders at most, and pairs for each row of a key that are few enough to do without.
-LEADERS, FEW = 2, 4
+LEADERS, FEW = 1, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -9,20 +9,23 @@ least one (the leftmost of equals) is the window's anchor.  Equal windows have
 equal anchors, and neighbouring windows mostly share one; windows in a row with
 one anchor are a segment, some 30 windows.
 
-1. Every document is cut into segments: rows of anchor hash, content hash and
-   place.  Of equal segments in a batch only the first is sent on by its hash;
+1. Every document is cut into segments: rows of anchor hash and place.  Of
+   segments of a batch with the same bytes only the first is sent on by its hash;
    the others are known to repeat and are spread evenly.
-2. The rows of an anchor hash meet, sorted, and are streamed.  Of equal segments
-   all but the first repeat.  Different segments of one anchor are kept for 3.
-3. The bytes of those segments are fetched, groups of an anchor hash are sorted
+2. The rows of an anchor hash meet, sorted, and are streamed.  An anchor with one
+   row repeats nothing; the rows of all others are kept for 3.
+3. The bytes of those segments are fetched and meet by anchor hash.  Segments of
+   the same bytes count once, all but the first repeat.  Different ones are sorted
    by two-stage suffix sorting (``suffixsort``) in blocks of bounded size, and
    adjacent common prefixes of ``LENGTH`` bytes show the windows that repeat.
-   An anchor with more than ``HOT`` different segments would not fit a block:
-   its windows are grouped by their digests in Spark instead, which combines
-   before the shuffle.
+   The segments of an anchor with more than ``HOT`` rows would not fit a block:
+   their windows are dealt to parts by their bytes first, and each part is
+   sorted in the same way.
 4. The repeated windows of each document meet its text once more, which is
    moved compressed.
 
+Hashes only bring together what may be equal; bytes and suffix order decide.
+
 Defined cases: null text is empty; rows that repeat doc_id and text count as
 one document and get the same result; rows of one doc_id with different texts
 are ordered by the hash of the text; a null doc_id comes before all others;
@@ -37,16 +40,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, saved, table
 from .suffixsort import common_prefixes, suffix_order
 
 LENGTH, GRAM = 100, 32
-HOT, BLOCK_BYTES, PIECE = 20_000, 4 << 20, 1 << 17
+HOT, BLOCK_BYTES, PIECE, ROWS = 20_000, 4 << 20, 1 << 17, 10_000
 NULL_ID = -(1 << 63)
-PLACE = "kind int, route long, h long, c long, doc long, at long"
+PLACE = "kind int, route long, h long, doc long, v long, at long"
 
 _BASE = 0x9E3779B97F4A7C15
 _UP = np.cumprod(np.append(np.uint64(1), np.full(PIECE + LENGTH, _BASE, np.uint64)))
@@ -58,10 +61,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor hash and content hash of each segment; long texts go in pieces."""
+def segments(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor hash of each segment; long texts go in pieces."""
     found = [_piece(b[i : i + PIECE + LENGTH - 1], i) for i in range(0, max(0, len(b) - LENGTH + 1), PIECE)]
-    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (*[np.empty(0, np.int64)] * 2, *[np.empty(0, np.uint64)] * 2)
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (*[np.empty(0, np.int64)] * 2, np.empty(0, np.uint64))
 
 
 def _piece(b: np.ndarray, base: int):
@@ -79,46 +82,52 @@ def _piece(b: np.ndarray, base: int):
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     lo = np.flatnonzero(np.diff(anchor, prepend=-1))
     count = np.diff(lo, append=len(anchor))
-    at = anchor[lo]
-    content = (sums[lo + count - 1 + LENGTH] - sums[lo]) * _DOWN[lo]
-    shape = ((at - lo) << 8 | count).astype(np.uint64)
-    return lo + base, count, gram[at], _mixed(content ^ shape * np.uint64(_BASE))
+    return lo + base, count, gram[anchor[lo]]
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """doc (the id), variant (among texts of one id), key (of both) and text of every row."""
+    """doc (the id), v (0, or the text's hash where an id has several texts), key (of both) and text of every row."""
     rows = docs.select(docs["doc_id"], F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    hashed = rows.select("doc", F.xxhash64("text").alias("x"))
-    many = saved(hashed.groupBy("doc").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("doc"), "many")
+    x = F.xxhash64("text")
+    many = saved(rows.groupBy("doc").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("doc", F.lit(True).alias("many")), "many")
     if many.isEmpty():
-        rows = rows.withColumn("variant", F.lit(0).cast("long"))
+        rows = rows.withColumn("v", F.lit(0).cast("long"))
     else:
-        place = F.dense_rank().over(Window.partitionBy("doc").orderBy("x")).cast("long")
-        variants = hashed.join(many, "doc").distinct().select("doc", "x", place.alias("variant"))
-        rows = rows.withColumn("x", F.xxhash64("text")).join(variants, ["doc", "x"], "left").withColumn("variant", F.coalesce("variant", F.lit(0).cast("long")))
-    return rows.select("doc_id", "doc", "variant", F.concat_ws(":", "doc", "variant").alias("key"), "text")
+        rows = rows.join(many, "doc", "left").withColumn("v", F.when(F.col("many"), x).otherwise(F.lit(0).cast("long")))
+    return rows.select("doc_id", "doc", "v", _key().alias("key"), "text")
 
 
 def _places(batches):
-    """Rows of PLACE; ``at`` holds variant, first window and number of windows."""
+    """Rows of PLACE; ``at`` holds first window and number of windows.  kind 0: a segment whose bytes came before in the batch."""
     for batch in batches:
-        h, c, doc, at = [], [], [], []
-        for d, v, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            lo, n, anchor, content = segments(np.frombuffer(text.encode(), np.uint8))
+        h, doc, v, at, texts = [], [], [], [], []
+        for d, x, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            texts.append(text.encode())
+            lo, n, anchor = segments(np.frombuffer(texts[-1], np.uint8))
             h.append(anchor)
-            c.append(content)
             doc.append(np.full(len(lo), d))
-            at.append(v << 48 | lo << 8 | n)
+            v.append(np.full(len(lo), x))
+            at.append(lo << 8 | n)
         if not h:
             continue
-        h, c, doc, at = (np.concatenate(x) for x in (h, c, doc, at))
-        by = np.lexsort((at, doc, c, h))
-        h, c, doc, at = h[by], c[by], doc[by], at[by]
-        again = _same(h, c)
-        twice = again & _same(doc, at)
+        owner = np.repeat(np.arange(len(h)), list(map(len, h)))
+        h, doc, v, at = (np.concatenate(x) for x in (h, doc, v, at))
+        by = np.lexsort((at, v, doc, h))
+        h, doc, v, at, owner = h[by], doc[by], v[by], at[by], owner[by]
+        again, twice = np.zeros(len(h), bool), _same(h, doc, v, at)
+        several = _same(h)
+        several[:-1] |= several[1:]
+        lo, n = _bounds(at)
+        seen, last = set(), None
+        for i in np.flatnonzero(several & ~twice).tolist():
+            if h[i] != last:
+                seen, last = set(), h[i]
+            held = texts[owner[i]][lo[i] : lo[i] + n[i] + LENGTH - 1]
+            again[i] = held in seen
+            seen.add(held)
         route = np.where(again, _mixed(doc.astype(np.uint64) * np.uint64(_BASE) ^ at.astype(np.uint64)), h).view(np.int64)
-        cols = [np.where(again, 0, 1).astype(np.int32), route, h.view(np.int64), c.view(np.int64), doc, at]
-        yield pa.RecordBatch.from_arrays([pa.array(x[~twice]) for x in cols], ["kind", "route", "h", "c", "doc", "at"])
+        cols = [np.where(again, 0, 1).astype(np.int32), route, h.view(np.int64), doc, v, at]
+        yield pa.RecordBatch.from_arrays([pa.array(x[~twice]) for x in cols], ["kind", "route", "h", "doc", "v", "at"])
 
 
 def _same(*cols: np.ndarray) -> np.ndarray:
@@ -129,64 +138,68 @@ def _same(*cols: np.ndarray) -> np.ndarray:
 
 
 def _judged(batches):
-    """kind 0: a segment that repeats; kind 1: one of different segments of an anchor.  Sorted rows, constant memory."""
-    last: list | None = None  # the last first-of-its-content row: h, c, doc, at, whether it was given out
+    """kind 0 as it is; of kind 1 the rows of anchors that have several.  Sorted rows, constant memory."""
+    last: list | None = None  # the last row: h, doc, v, at, whether it was given out
     for batch in batches:
-        kind, h, c, doc, at = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
-        out = [(np.zeros((kind == 0).sum(), np.int64), doc[kind == 0], at[kind == 0], 0)]
-        rows = kind == 1
-        h, c, doc, at = h[rows], c[rows], doc[rows], at[rows]
-        given = np.zeros(len(h) + 1, bool)
-        if last:
-            h, c, doc, at = (np.append(v, x) for v, x in zip(last[:4], (h, c, doc, at), strict=True))
-            given[0] = last[4]
-        else:
-            given = given[1:]
-        again = _same(h, c)
-        repeat = again & ~_same(h, c, doc, at)
-        if last:  # rows equal to one that an earlier batch ended with
-            repeat &= ~((h == last[0]) & (c == last[1]) & (doc == last[2]) & (at == last[3]))
-        out.append((h[repeat], doc[repeat], at[repeat], 0))
-        f = np.flatnonzero(~again)
-        if f.size:
-            alike = _same(h[f])
-            varied = alike | np.append(alike[1:], False)
-            e = f[varied & ~given[f]]
-            out.append((h[e], doc[e], at[e], 1))
-            i = f[-1]
-            last = [h[i], c[i], doc[i], at[i], bool(varied[-1] or given[i])]
-        yield pa.RecordBatch.from_pydict({
-            "kind": np.concatenate([np.full(len(x[0]), x[3], np.int32) for x in out]),
-            **{name: np.concatenate([x[j] for x in out]) for j, name in enumerate(("h", "doc", "at"))},
-        })
+        kind, h, doc, v, at = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+        plain = kind == 0
+        out = [(np.zeros(plain.sum(), np.int32), h[plain], doc[plain], v[plain], at[plain])]
+        rows = [x[~plain] for x in (h, doc, v, at)]
+        if len(rows[0]):
+            given = np.zeros(len(rows[0]) + (last is not None), bool)
+            if last:
+                rows = [np.append(x, y) for x, y in zip(last[:4], rows, strict=True)]
+                given[0] = last[4]
+            new = ~_same(*rows)  # a row that was read twice counts once
+            rows, given = [x[new] for x in rows], given[new]
+            alike = _same(rows[0])
+            several = alike.copy()
+            several[:-1] |= alike[1:]
+            several[0] |= given[0]
+            e = several & ~given
+            out.append((np.ones(e.sum(), np.int32), *(x[e] for x in rows)))
+            last = [*(x[-1] for x in rows), bool(several[-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["kind", "h", "doc", "v", "at"])
 
 
 def _bounds(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (at & ((1 << 48) - 1)) >> 8, at & 255
+    return at >> 8, at & 255
 
 
 def _packed_texts(batches):
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "z"])
+        *names, text = batch.columns
+        yield pa.RecordBatch.from_arrays([*names, pa.array([squeeze(t.encode()) for t in text.to_pylist()], pa.binary())], [*batch.schema.names[:-1], "z"])
 
 
-def _fetched(batches):
-    """The bytes of the segments listed for each document."""
-    for batch in batches:
-        out = {"h": [], "doc": [], "at": [], "bytes": []}
-        for doc, z, hs, ats in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            text = zstandard.decompress(z)
-            for lo, n in zip(*map(np.ndarray.tolist, _bounds(np.array(ats, np.int64))), strict=True):
-                out["bytes"].append(text[lo : lo + n + LENGTH - 1])
-            out["h"] += hs
-            out["doc"] += [doc] * len(hs)
-            out["at"] += ats
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())]))
-
-
-def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """doc, at of runs of windows that an earlier window of the block equals."""
+FETCHED = pa.schema([("h", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("v", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+
+
+def _fetched(parts: int = 0):
+    """The bytes of the segments listed for each document; with ``parts`` those of each window apart, dealt by their hash."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, v, z, hs, ats in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                text = zstandard.decompress(z)
+                h, at = np.array(hs, np.int64), np.array(ats, np.int64)
+                if parts:
+                    lo, n = _bounds(at)
+                    into = np.cumsum(n) - n
+                    at = (np.repeat(lo - into, n) + np.arange(n.sum())) << 8 | 1
+                    h = np.repeat(h, n)
+                for i in range(0, len(at), ROWS):
+                    held = [text[a : a + n + LENGTH - 1] for a, n in zip(*map(np.ndarray.tolist, _bounds(at[i : i + ROWS])), strict=True)]
+                    part = [xxhash.xxh3_64_intdigest(x) % parts if parts else 0 for x in held]
+                    k = len(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h[i : i + ROWS], part, np.full(k, doc), np.full(k, v), at[i : i + ROWS], held), FETCHED.types, strict=True)], schema=FETCHED)
+
+    return run
+
+
+def repeated_windows(doc: np.ndarray, v: np.ndarray, at: np.ndarray, held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, v, at of runs of windows that an earlier window of the block equals."""
     text = np.frombuffer(b"".join(held), np.uint8)
     size = np.array([len(x) for x in held], np.int64)
     base = np.cumsum(size) - size
@@ -202,60 +215,52 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, held: list[
     run = np.cumsum(common_prefixes(text, order, LENGTH) < LENGTH)
     w = window[order]
     o = owner[w]
-    by = np.lexsort((lo[o] + offset[w], at[o] >> 48, doc[o], run))  # in a run the earliest first
+    by = np.lexsort((lo[o] + offset[w], v[o], doc[o], run))  # in a run the earliest first
     w, run = w[by], run[by]
     o = owner[w]
     # a row that was read twice is no repeat of itself: only other places than a run's first count
     head = np.repeat(np.flatnonzero(~_same(run)), np.unique(run, return_counts=True)[1])
-    dup = np.sort(w[(doc[o] != doc[o[head]]) | (at[o] >> 48 != at[o[head]] >> 48) | (lo[o] + offset[w] != lo[o[head]] + offset[w[head]])])
+    dup = np.sort(w[(doc[o] != doc[o[head]]) | (v[o] != v[o[head]]) | (lo[o] + offset[w] != lo[o[head]] + offset[w[head]])])
     if not dup.size:
-        return dup, dup
+        return dup, dup, dup
     start = np.flatnonzero(np.append(True, (np.diff(dup) != 1) | (np.diff(owner[dup]) != 0)))
     first, count = dup[start], np.diff(np.append(start, len(dup)))
     o = owner[first]
-    return doc[o], (at[o] >> 48) << 48 | (lo[o] + offset[first]) << 8 | count
+    return doc[o], v[o], (lo[o] + offset[first]) << 8 | count
+
+
+REPEATED = pa.schema([("doc", pa.int64()), ("v", pa.int64()), ("at", pa.int64())])
 
 
 def _sorted_blocks(batches):
-    """Whole anchors in blocks of about BLOCK_BYTES; rows come sorted by anchor, HOT bounds one anchor's rows."""
-    def give(rows):
-        doc, at = repeated_windows(*(np.concatenate([r[i] for r in rows]) for i in range(3)), [x for r in rows for x in r[3]])
-        return pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "at": pa.array(at, pa.int64())})
-
-    rows, size = [], 0
-    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-        h, doc, at = (batch.column(i).to_numpy() for i in range(3))
-        held = batch.column(3).to_pylist()
-        if size >= BLOCK_BYTES:  # close the block where the anchor changes
-            cut = int(np.argmax(np.append(h != rows[-1][0][-1], True)))
-            rows.append((h[:cut], doc[:cut], at[:cut], held[:cut]))
-            if cut < len(h):
-                yield give(rows)
-                rows, size = [(h[cut:], doc[cut:], at[cut:], held[cut:])], sum(map(len, held[cut:]))
-            continue
-        rows.append((h, doc, at, held))
-        size += sum(map(len, held))
-    if rows:
-        yield give(rows)
-
-
-def _digests(batches):
-    """One row for each window of the segments of a hot anchor."""
-    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-        out = {"d1": [], "d2": [], "doc": [], "at": []}
-        for doc, at, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            lo, n = (at & ((1 << 48) - 1)) >> 8, at & 255
-            for i in range(n):
-                d = xxhash.xxh3_128_intdigest(text[i : i + LENGTH])
-                out["d1"].append((d >> 64) - (1 << 63))
-                out["d2"].append((d & ((1 << 64) - 1)) - (1 << 63))
-                out["doc"].append(doc)
-                out["at"].append((at >> 48) << 48 | (lo + i) << 8 | 1)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
+    """Whole anchors (or parts of one) in blocks of about BLOCK_BYTES; rows come sorted, HOT bounds the different ones of an anchor."""
+
+    def give():
+        found = repeated_windows(*(np.array([r[i] for r in block], np.int64) for i in range(3)), [r[3] for r in block])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=REPEATED)
+
+    block, size, of, seen = [], 0, None, {}
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        repeats = []
+        for h, part, doc, v, at, held in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if of != (h, part):
+                of, seen = (h, part), {}
+                if size >= BLOCK_BYTES:
+                    yield give()
+                    block, size = [], 0
+            place = (doc, v, at)
+            if (first := seen.setdefault(held, place)) is place:
+                block.append((*place, held))
+                size += len(held)
+            elif first != place:  # a row that was read twice is no repeat of itself
+                repeats.append(place)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*repeats, strict=True)] if repeats else [pa.array([], pa.int64())] * 3, schema=REPEATED)
+    if block:
+        yield give()
 
 
 def _key():
-    return F.concat_ws(":", "doc", F.shiftright("at", 48))
+    return F.concat_ws(":", "doc", "v")
 
 
 def _cleaned(with_text: bool):
@@ -281,25 +286,28 @@ CLEANED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def repeats(named: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, at of runs of windows that also start earlier."""
-    places = named.select("doc", "variant", "text").mapInArrow(_places, PLACE)
-    places = places.repartition("route").sortWithinPartitions("kind", "h", "c", "doc", "at")
-    judged = saved(places.mapInArrow(_judged, "kind int, h long, doc long, at long"), "judged")
-    varied = judged.where("kind = 1")
-    wanted = varied.groupBy(_key().alias("key"), "doc").agg(F.collect_list(F.struct("h", "at")).alias("s"))
-    texts = named.select("doc_id", "key", "text").mapInArrow(_packed_texts, "doc_id long, key string, z binary")
-    held = texts.join(wanted, "key").select("doc", "z", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
-    held = held.mapInArrow(_fetched, "h long, doc long, at long, bytes binary")
-    dups = judged.where("kind = 0").select("doc", "at")
-    crowded = saved(varied.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
-    if not crowded.isEmpty():
-        windows = saved(held.join(crowded, "h", "left_semi").mapInArrow(_digests, "d1 long, d2 long, doc long, at long"), "windows")
-        first = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"))
-        again = windows.join(first, ["d1", "d2"]).where(F.struct("doc", "at") > F.col("first"))
-        dups = dups.unionByName(again.select("doc", "at"))
-        held = held.join(crowded, "h", "left_anti")
-    found = held.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_blocks, "doc long, at long")
-    return dups.unionByName(found)
+    """doc, v, at of runs of windows that also start earlier."""
+    places = named.select("doc", "v", "text").mapInArrow(_places, PLACE)
+    places = places.repartition("route").sortWithinPartitions("kind", "h", "doc", "v", "at")
+    judged = saved(places.mapInArrow(_judged, "kind int, h long, doc long, v long, at long"), "judged")
+    several = judged.where("kind = 1")
+    texts = named.select("key", "text").mapInArrow(_packed_texts, "key string, z binary")
+
+    def sorted_(rows: DataFrame, parts: int = 0) -> DataFrame:
+        wanted = rows.groupBy(_key().alias("key"), "doc", "v").agg(F.collect_list(F.struct("h", "at")).alias("s"))
+        held = texts.join(wanted, "key").select("doc", "v", "z", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
+        held = held.mapInArrow(_fetched(parts), "h long, part int, doc long, v long, at long, bytes binary")
+        held = held.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "v", "at")
+        return held.mapInArrow(_sorted_blocks, "doc long, v long, at long")
+
+    crowded = saved(several.groupBy("h").count().where(F.col("count") > hot), "hot")
+    found = judged.where("kind = 0").select("doc", "v", "at")
+    if (most := crowded.agg(F.max("count")).first()[0]) is None:
+        return found.unionByName(sorted_(several))
+    # a segment has LENGTH windows at most; parts of an anchor then have about ``hot`` of them
+    parts = -(-most * LENGTH // hot)
+    hot_rows, others = several.join(crowded, "h", "left_semi"), several.join(crowded, "h", "left_anti")
+    return found.unionByName(sorted_(others)).unionByName(sorted_(hot_rows, parts))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> DataFrame:
@@ -313,3 +321,20 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> D
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("kept")
+
+
+SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM docs, unnest(range(0, length(h) // 2 - 99)) AS t(i)),
+again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+begins AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS b FROM again),
+numbered AS (SELECT doc_id, i, sum(b::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM begins),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY doc_id, span),
+pieces AS (
+  SELECT doc_id, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER w, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER w, 0))) AS kept
+  FROM spans JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY lo)),
+cut AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS n, max(hi) AS hi, string_agg(kept, '' ORDER BY lo) AS kept FROM pieces GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(hi, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

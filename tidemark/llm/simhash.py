@@ -24,12 +24,13 @@ block has a fingerprint of its own.
    first ``BLOCK_KEYS`` blocks are joined; texts near a change of their number
    are joined under both numbers.  Of pairs at 0.8 some 99.9 % share a key at
    worst, of closer ones more.
-2. In the join 128-bit fingerprints of the whole texts are compared
-   (``FAR`` bits at most; at 0.8 they differ in 20 to 24, by chance in 64).
+2. In the join fingerprints of the whole texts, of ``WIDE`` words of 64 bits, are
+   compared (``far``: three standard deviations above what 0.8 gives).
 3. What is left is compared by whole shingle sets.  First each text of a key
-   with one leader, ``LEADERS`` times, which is linear and joins large groups;
-   then those of a key that are still in different groups with each other.  No
-   key is capped and no pair of a key is left out.
+   with one leader, at first the one that meets most texts in all its keys and
+   so is likely what others were copied from, which is linear and joins large
+   groups; then those of a key that are still in different groups with each
+   other.  No key is capped and no pair of a key is left out.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other,
 and are copies of each other; fewer words than a shingle give one shingle of
@@ -43,12 +44,14 @@ not identify a group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, saved, table, whole_row
@@ -57,10 +60,10 @@ from .components import connected_components
 SHINGLE, DISTANCE, BLOCKS, SEED = 3, 2, 8, 42
 #: Hashes whose bits are counted at once: bounds memory for very long texts.
 STEP = 1 << 16
-#: Of near copies: words to a shingle, least Jaccard similarity, blocks joined, bits.
-COPY_SHINGLE, SIMILARITY, BLOCK_KEYS, FAR = 5, 0.8, 24, 40
+#: Of near copies: words to a shingle, least Jaccard similarity, blocks joined, words of 64 bits.
+COPY_SHINGLE, SIMILARITY, BLOCK_KEYS, WIDE = 5, 0.8, 24, 16
 #: Rounds of leaders at most, and pairs for each row of a key that are few enough to do without.
-LEADERS, FEW = 1, 4
+LEADERS, FEW = 2, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,15 +141,22 @@ def distinct_shingles(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarr
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """128 bits as two longs."""
-    counts = np.zeros(128, np.int64)
+    """WIDE words of 64 bits, as longs."""
+    counts = np.zeros(64 * WIDE, np.int64)
     for i in range(0, len(hashes), STEP):
         h = hashes[i : i + STEP]
-        more = (h ^ h >> np.uint64(32)) * _ODD
-        counts += np.concatenate([bit_counts(h), bit_counts(more ^ more >> np.uint64(29))])
+        for j in range(WIDE):
+            more = (h ^ np.uint64((int(_ODD) * (2 * j + 1)) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+            more = (more ^ more >> np.uint64(32)) * _ODD
+            counts[64 * j : 64 * j + 64] += bit_counts(more ^ more >> np.uint64(29))
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
 
 
+def far(n: int) -> int:
+    """Bits in which fingerprints of two near copies may differ; majorities of few shingles change more easily."""
+    return 64 * WIDE // 4 if n < 12 else 215 * WIDE // 16 if n < 64 else 192 * WIDE // 16
+
+
 def block_level(n: float) -> int:
     """A text of n shingles has 2 to this number of blocks in a dealing: of 3 to 6 shingles on average, two blocks at least."""
     return max(1, int(n / 3).bit_length() - 1)
@@ -184,16 +194,21 @@ def block_keys(hashes: np.ndarray, keys: int = BLOCK_KEYS) -> np.ndarray:
 
 def _keyed(batches):
     for batch in batches:
-        hashes = [distinct_shingles(t.as_py()) for t in batch.column(1)]
-        keys, wide = [block_keys(h) for h in hashes], np.array([wide_fingerprint(h) for h in hashes], np.int64).reshape(-1, 2)
-        flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
+        keys = [block_keys(distinct_shingles(t.as_py())) for t in batch.column(1)]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.ListArray.from_arrays(ends, flat)], ["node", "f", "g", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys])))], ["node", "keys"])
+
+
+BITS = [f"f{i}" for i in range(WIDE)]
+SETS = "node binary, held binary, far int, " + ", ".join(f"{c} long" for c in BITS)
 
 
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([distinct_shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "held"])
+        hashes = [distinct_shingles(t.as_py()) for t in batch.column(1)]
+        wide = np.array([wide_fingerprint(h) for h in hashes], np.int64).reshape(-1, WIDE)
+        cols = [batch.column(0), pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array([far(len(h)) for h in hashes], pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in wide.T)]
+        yield pa.RecordBatch.from_arrays(cols, ["node", "held", "far", *BITS])
 
 
 def similar(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
@@ -221,41 +236,44 @@ def _picked(named: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _close(x: str, y: str):
-    bits = lambda c: F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")))
-    return bits("f") + bits("g") <= FAR
+    bits = (F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in BITS)
+    return reduce(add, bits) <= F.greatest(f"{x}far", f"{y}far")
 
 
 def _copy_roots(named: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of the texts that have a near copy."""
     text = _picked(named, nodes.select("node", "best.row")).select("node", "doc.text")
-    keyed = saved(in_batches(text).mapInArrow(_keyed, "node binary, f long, g long, keys array<long>"), "keyed")
-    keys = keyed.select(F.explode("keys").alias("key"), "node", "f", "g")
-    left = saved(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"), "members").withColumn("root", F.col("node"))
-    wanted = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "best.row")
-    sets = saved(in_batches(_picked(named, wanted).select("node", "doc.text")).mapInArrow(_sets, "node binary, held binary"), "sets")
-    roots = None
+    keyed = saved(in_batches(text).mapInArrow(_keyed, "node binary, keys array<long>"), "keyed")
+    keys = keyed.select(F.explode("keys").alias("key"), "node")
+    members = keys.join(keys.groupBy("key").count().where("count > 1"), "key")
+    met = F.sum("count").over(Window.partitionBy("node"))  # texts met in all keys: most for the text that others are copies of
+    members = saved(members.select("key", "node", met.alias("met")), "members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "best.row")
+    sets = saved(in_batches(_picked(named, wanted).select("node", "doc.text")).mapInArrow(_sets, SETS), "sets")
+    left, roots = members.withColumn("root", F.col("node")), None
     for k in range(LEADERS + 1):
         sizes = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots"))
         open_ = sizes.where("roots > 1")
         rows, pairs = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not pairs:
             break
-        left = left.join(open_.select("key"), "key")
+        left = saved(left.join(open_.select("key"), "key"), "left")
+        wide = left.join(sets.drop("held"), "node")
         last = k == LEADERS or pairs <= FEW * rows
         if last:
-            other = left.toDF(*(c if c == "key" else f"other_{c}" for c in left.columns))
+            other = wide.select("key", *(F.col(c).alias(f"other_{c}") for c in wide.columns if c != "key"))
             apart = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root"))
-            found = left.join(other, "key").where(apart & _close("", "other_")).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+            found = wide.join(other, "key").where(apart & _close("", "other_")).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
         else:
-            of = F.struct(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"), F.col("f").alias("lead_f"), F.col("g").alias("lead_g"))
-            lead = left.groupBy("key").agg(F.min_by(of, F.struct(F.xxhash64(F.lit(k), "node"), "node")).alias("l")).select("key", "l.*")
-            found = left.join(lead, "key").where((F.col("root") != F.col("lead_root")) & _close("", "lead_")).select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
+            of = F.struct(*(F.col(c).alias(f"lead_{c}") for c in ("node", "root", "far", *BITS)))
+            lead = wide.groupBy("key").agg(F.min_by(of, F.struct(F.lit(0) if k else -F.col("met"), F.xxhash64(F.lit(k), "node"), "node")).alias("l")).select("key", "l.*")
+            found = wide.join(lead, "key").where((F.col("root") != F.col("lead_root")) & _close("", "lead_")).select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
         links = saved(_compared(saved(found.distinct(), "pairs"), sets), "links")
         known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = saved(connected_components(known), "roots")
         if last:
             break
-        left = saved(left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "left")
+        left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
 
 

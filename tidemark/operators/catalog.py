@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_or_name_or_id
+from ..session import once
 
 VALUE = "struct<value: string>"
 ENTITIES = f"""struct<cmdId: int, data: struct<data: array<struct<
@@ -45,7 +46,7 @@ def last_of_each(assets: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in assets.columns))
 
 
-def walked(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
+def walked(texts: DataFrame, text: str, levels: int = 4) -> DataFrame:
     """Every object in JSON texts, at any depth: the other columns and ``node`` (variant).
 
     A scan goes ``levels`` deep: each step keeps a row and adds the children of rows that the step before added.  What
@@ -62,10 +63,9 @@ def walked(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
             own = F.array(F.struct("node", F.lit(False).alias("fresh"))).cast(child)
             new = F.when(F.col("fresh"), F.transform(kids, lambda k: F.struct(k.alias("node"), F.lit(True).alias("fresh"))).cast(child))
             rows = rows.select(*keep, F.explode(F.concat(own, F.coalesce(new, F.array().cast(child)))).alias("e")).select(*keep, "e.node", "e.fresh")
-        found.append(rows.where(~F.col("fresh") & kind.startswith("OBJECT")).select(*keep, "node"))
-        fresh = rows.where(F.col("fresh") & (kind.startswith("OBJECT") | kind.startswith("ARRAY")))
-        if texts.sparkSession.sparkContext.getCheckpointDir():
-            fresh = fresh.checkpoint()
+        rows = once(rows.select(*keep, "node", "fresh", kind.alias("kind")).where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%' AND fresh"))
+        found.append(rows.where("NOT fresh").select(*keep, "node"))
+        fresh = rows.where("fresh").drop("kind")
     return reduce(DataFrame.unionAll, found)
 
 
@@ -74,7 +74,7 @@ def _text(path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get("node", path, "variant")) == "STRING", F.try_variant_get("node", path, "string"))
 
 
-def walk_entities(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
+def walk_entities(texts: DataFrame, text: str, levels: int = 4) -> DataFrame:
     """Objects with entityId.id and a name, label or entityName: the other columns, id, name."""
     nodes = walked(texts, text, levels)
     keep = [c for c in nodes.columns if c != "node"]
@@ -82,7 +82,7 @@ def walk_entities(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
     return nodes.select(*keep, _text("$.entityId.id").alias("id"), name.alias("name")).where("id <> '' AND name IS NOT NULL")
 
 
-def walk_types(texts: DataFrame, text: str, levels: int = 12) -> DataFrame:
+def walk_types(texts: DataFrame, text: str, levels: int = 4) -> DataFrame:
     """Distinct name, type of objects with entityType ASSET that have both as strings."""
     nodes = walked(texts, text, levels).where(_text("$.entityType") == "ASSET")
     pick = lambda a, b: F.coalesce(F.nullif(_text(a), F.lit("")), F.nullif(_text(b), F.lit("")))

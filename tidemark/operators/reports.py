@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
 from . import integrity, profile, recharge
 
 VERSION = "1"
@@ -39,7 +40,7 @@ def integrity_report(series: DataFrame, freq: int = 1, start: datetime | None =
 
 def tank_report(series: DataFrame, bins: int = 20, start: datetime | None = None, end: datetime | None = None, asset: str | None = None, tiebreak: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     rows = integrity.bounded(series, start, end, asset)
-    events = recharge.recharge_events(rows, tiebreak=tiebreak)
+    events = once(recharge.recharge_events(rows, tiebreak=tiebreak))
     return {
         "Summary": profile.stats(rows),
         "Percentiles": profile.percentiles(rows),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import calendar, catalog, integrity, payload, profile, recharge, reports, sampling
 from ..operators.adapters import events, hourly, series, shifted
+from ..session import once
 from ..sources.csvs import parsed_times
 from ..streaming import monitor
 
@@ -176,7 +177,7 @@ QUERIES = {
     "rolling_median": lambda s, d: rounded(recharge.smoothed(series(s, d), tiebreak=TIES)),
     "local_extrema": lambda s, d: rounded(recharge.extrema(recharge.smoothed(series(s, d), tiebreak=TIES)).where("is_min OR is_max")),
     "recharge_events": lambda s, d: rounded(recharge.recharge_events(series(s, d), tiebreak=TIES)),
-    "amplitude_histogram": lambda s, d: rounded(profile.histogram(recharge.recharge_events(series(s, d), tiebreak=TIES), "amplitude", 10)),
+    "amplitude_histogram": lambda s, d: rounded(profile.histogram(once(recharge.recharge_events(series(s, d), tiebreak=TIES)), "amplitude", 10)),
     "correlation": lambda s, d: rounded(profile.correlation(series(s, d))),
     "scatter_pairs": lambda s, d: profile.scatter(series(s, d)),
     "missing_level_notes": lambda s, d: profile.missing_level_notes(series(s, d).withColumn("nivelEstanque", F.when(F.col("asset_id") > "error", F.col("nivelEstanque")))),

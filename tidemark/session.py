@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Series are TIMESTAMP_NTZ holding UTC; arithmetic on instants needs a session without daylight saving.
 SETTINGS = {
@@ -14,3 +14,8 @@ SETTINGS = {
 
 def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder.config(map=SETTINGS)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` computed once for all that reads it, where the cluster names a folder for checkpoints."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df

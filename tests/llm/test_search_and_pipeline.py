@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, neighbours, queries, quality, simhash
+from tidemark.llm import decontaminate, neighbours, queries, quality
 from tidemark.llm.common import saved, table
 
+from .test_near_copies import brute_groups
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -91,10 +93,44 @@ def test_pipeline_stages(spark):
     score = quality.scored(before, labels).where("score >= 0.5").count()
     assert after.count() == score
     before, after = seen["near_duplicates"]
-    groups = simhash.near_duplicates(before)
-    assert after.count() == groups.select("component_id").distinct().count()
+    rows = before.orderBy("doc_id").select("doc_id", "text").collect()
+    roots = brute_groups([r["text"] for r in rows])
+    assert sorted(r["doc_id"] for r in after.collect()) == [rows[i]["doc_id"] for i in sorted(set(roots))]
     before, after = seen["decontaminate"]
     assert after.count() == before.count() - decontaminate.judge(before, bench).where(decontaminate.contaminated()).count()
     before, after = seen["mix"]
     assert seen["tokens"][1].count() == after.count() > 0
     assert corpus_pipeline.run(spark, DATA).count() == seen["tokens"][1].count()
+
+
+ODD = [(1, "plain words of a text that is kept.", "en", "a", 1), (1, "plain words of a text that is kept.", "en", "a", 1), (2, "", "en", "a", 0), (3, None, None, None, None), (None, "no id here but words, some words.", "de", "b", 3), (None, None, "en", "b", 0), (4, "long text " * 30_000, "en", "b", 7)]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path, rows):
+    """Nulls, repeats, long texts, names with a dot and names that the stages use themselves."""
+    clash = ["doc", "stats", "score", "node", "row", "copies", "n_hit", "key", "a.b", "text_"]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit("own") for c in clash})
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)][: len(rows)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "words that no text holds at all")][: len(rows)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = saved(stage(spark, docs, str(tmp_path)), name)
+        if name != "tokens":
+            assert out.columns == docs.columns
+            assert not rows or out.where("`a.b` = 'own' AND node = 'own'").count() == out.count() > 0
+        assert rows or out.count() == 0
+        docs = out
+
+
+def test_neighbours_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.astype(np.float32).astype(float).tolist()) for i, v in enumerate(rng.standard_normal((700, 12)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cid", F.lit("clash"))
+    got = {}
+    for r in neighbours.search(vectors, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_nearest(rows)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fits, saved, table
+from .common import fits, saved, table, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "mix-1"
@@ -69,7 +69,7 @@ def source_targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 def planned(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``doc`` (the row as a struct), size, source_size, target and copies of every document."""
     targets = saved(source_targets(docs, weights, share, cap), "targets").withColumnsRenamed({"source": "of_source"})
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), word_count(docs["text"]).alias("size"))
+    rows = docs.select(whole_row(docs).alias("doc"), word_count(docs["text"]).alias("size"))
     if fits(targets, MAX_BROADCAST_SOURCES):
         rows = rows.join(F.broadcast(targets), F.col("doc.source").eqNullSafe(F.col("of_source")))
     else:

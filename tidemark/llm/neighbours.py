@@ -36,7 +36,7 @@ from .common import saved, table
 
 K, EVERY = 20, 20
 BITS, TABLES, SAMPLE_ROWS, REACH, SEED = 128, 8, 4096, 0.97, 11
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 16_384
 
 
 class Codes:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole_row
 from .mixing import WORD
 
 SAMPLE_ROWS, TREES, DEPTH, CUTS, PENALTY, SEED = 20_000, 40, 3, 32, 1e-3, 7
@@ -70,7 +70,7 @@ NAMES = ("words", "word_chars", "distinct_words", "same_as_last", "same_lines",
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``doc`` (the row as a struct) and the statistics of its text as ``stats``."""
     t = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("_words"), F.split(t, "\n", -1).alias("_lines"))
+    rows = docs.select(whole_row(docs).alias("doc"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("_words"), F.split(t, "\n", -1).alias("_lines"))
     return rows.select("doc", F.struct(*(c.alias(k) for k, c in statistics(F.col("doc.text")).items())).alias("stats"))
 
 

@@ -285,17 +285,17 @@ def _cleaned(with_text: bool):
 CLEANED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def repeats(named: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, v, at of runs of windows that also start earlier."""
+def repeats(named: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc, v, at of runs of windows that also start earlier; ``texts`` has the packed text of each key."""
     places = named.select("doc", "v", "text").mapInArrow(_places, PLACE)
     places = places.repartition("route").sortWithinPartitions("kind", "h", "doc", "v", "at")
     judged = saved(places.mapInArrow(_judged, "kind int, h long, doc long, v long, at long"), "judged")
     several = judged.where("kind = 1")
-    texts = named.select("key", "text").mapInArrow(_packed_texts, "key string, z binary")
 
     def sorted_(rows: DataFrame, parts: int = 0) -> DataFrame:
-        wanted = rows.groupBy(_key().alias("key"), "doc", "v").agg(F.collect_list(F.struct("h", "at")).alias("s"))
-        held = texts.join(wanted, "key").select("doc", "v", "z", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
+        wanted = rows.groupBy(_key().alias("key"), "v").agg(F.collect_list(F.struct("h", "at")).alias("s"))
+        # all columns of ``texts`` are used, as in remove_repeats, so that Spark shuffles it once for both
+        held = texts.join(wanted, "key").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "v", "z", F.col("s.h").alias("hs"), F.col("s.at").alias("ats"))
         held = held.mapInArrow(_fetched(parts), "h long, part int, doc long, v long, at long, bytes binary")
         held = held.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "v", "at")
         return held.mapInArrow(_sorted_blocks, "doc long, v long, at long")
@@ -313,8 +313,8 @@ def repeats(named: DataFrame, hot: int = HOT) -> DataFrame:
 def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept of each row."""
     named = _named(in_batches(docs))
-    gone = repeats(named, hot).groupBy(_key().alias("key")).agg(F.collect_list("at").alias("ats"))
-    texts = named.select("doc_id", "key", "text").mapInArrow(_packed_texts, "doc_id long, key string, z binary")
+    texts = named.select("doc_id", "key", "text").mapInArrow(_packed_texts, "doc_id long, key string NOT NULL, z binary")
+    gone = repeats(named, texts, hot).groupBy(_key().alias("key")).agg(F.collect_list("at").alias("ats"))
     rows = texts.join(gone, "key", "left").select("doc_id", "z", "ats")
     return rows.mapInArrow(_cleaned(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -6,7 +6,14 @@
 4. mix: documents are repeated or left out to meet the sources' weights (operator 3)
 5. tokens: ids are written as a compressed dataset; its index is returned (operator 1)
 
-The first four return the columns of their input.
+The first four return the columns of their input, whatever their names.
+
+Defined cases, in every stage: a null text is an empty one; a null doc_id is an
+id like any other and comes last where one of a group is chosen (first where ids
+are ordered); rows that repeat are scored, judged, mixed and encoded each for
+itself, and of equal ones near_duplicates keeps one; ties go to the smaller id,
+then to hashes of text and row, so that runs agree; long texts are read whole;
+an empty table stays one.
 """
 
 from __future__ import annotations

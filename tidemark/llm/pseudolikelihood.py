@@ -36,15 +36,15 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
-from itertools import groupby, repeat
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, saved, table
+from .common import gathered, in_batches, saved, table
 
 TOP, BUCKETS, CLASSES = 1792, 256, 32
 IDS = TOP + BUCKETS
@@ -54,8 +54,8 @@ STEP, RATE, SEED = 16_384, 0.1, 5
 #: Share of the documents in each round: one of so many.
 ROUNDS = (16, 1)
 SHAPES = {"embed": (IDS + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, SIZE), "bw": (CLASSES, SIZE)}
-#: Words that a task counts before it gives them out; words whose counts are broadcast, at most; tokens of a lot.
-COUNTED, HELD, LOT_TOKENS = 500_000, 400_000, 1_000_000
+#: Bytes of text whose words a task counts at once; words whose counts are broadcast, at most; tokens of a lot.
+COUNTED, HELD, LOT_TOKENS = 24 << 20, 400_000, 1_000_000
 #: Weights are averaged in pieces of so many numbers, so many lots at a time.
 PIECE, SPREAD = 1 << 12, 32
 #: Words are sorted into so many classes of frequency to each doubling.
@@ -64,44 +64,47 @@ FINE = 8
 Weights = dict[str, np.ndarray]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """``bytes.lower`` and ``bytes.split`` treat exactly A-Z and the characters \\x20 \\x09-\\x0D."""
-    words = (text or "").encode().lower().split()
-    if max(map(len, words), default=0) > 64:
-        words = [w if len(w) <= 64 else b"\0" + hashlib.blake2b(w, digest_size=16).digest() for w in words]
-    return words
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the place of each word among them, and where the words of each text begin and end.
+
+    White space is \\x20 \\x09-\\x0D; a word of over 64 bytes counts by a digest.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+    if not full.all():
+        flat, ends = flat.filter(pa.array(full)), np.append(0, np.cumsum(full))[ends]
+    coded = flat.dictionary_encode()
+    names, place = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    if len(names) and pc.max(pc.binary_length(names)).as_py() > 64:
+        names = pa.array([w if len(w) <= 64 else b"\0" + hashlib.blake2b(w, digest_size=16).digest() for w in names.to_pylist()], pa.binary())
+    return names, place, ends
 
 
 class Vocabulary:
-    """The words with an id or a share that is held, and how often each id occurs.  Sent as arrays."""
+    """The words with an id or a share that is held, and how often each id occurs."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, buckets: np.ndarray):
         """``words`` by falling frequency; ``buckets``: occurrences of all words by bucket."""
-        self.words, self.place = pa.array(words, pa.binary()), None
+        self.words = pa.array(words, pa.binary())
         bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
         rest = (buckets - np.bincount(bucket[:TOP], counts[:TOP], BUCKETS)).astype(float)
         top = np.append(counts[:TOP], np.zeros(max(0, TOP - len(words))))
         self.frequency = np.append(top, rest)
-        self.ids = np.append(np.arange(min(TOP, len(words))), TOP + bucket[TOP:])
-        self.shares = np.append(np.zeros(min(TOP, len(words))), np.log(counts[TOP:] / rest[bucket[TOP:]]))
+        self.ids = np.concatenate([np.arange(min(TOP, len(words))), TOP + bucket[TOP:], [-1]]).astype(np.int32)
+        self.shares = np.concatenate([np.zeros(min(TOP, len(words))), np.log(counts[TOP:] / rest[bucket[TOP:]]), [0.0]])
         self.rest = rest
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None}
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, float, list[bytes]]:
-        """Ids of a text, the sum of the shares that are held, and the words whose share is not."""
-        if self.place is None:  # once in each Python worker
-            self.place = {w: i for i, w in enumerate(self.words.to_pylist())}
-        words = words_of(text)
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        others = np.flatnonzero(at < 0).tolist()
-        if not len(self.ids):
-            return np.array([TOP + zlib.crc32(w) % BUCKETS for w in words], np.int64), 0.0, words
-        ids = self.ids[at]
-        rare = [words[i] for i in others]
-        ids[others] = [TOP + zlib.crc32(w) % BUCKETS for w in rare]
-        return ids, float(self.shares[at[at >= 0]].sum()), rare
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+        """Ids of the texts in a row, where those of each text begin and end, the sums of the shares that are held, the words of which none is."""
+        names, place, ends = words_of(texts)
+        held = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy()  # the last id and share stand for none
+        ids, rare = self.ids[held].copy(), held < 0
+        ids[rare] = [TOP + zlib.crc32(w) % BUCKETS for w in names.filter(pa.array(rare)).to_pylist()]
+        sums = np.append(0.0, np.cumsum(self.shares[held][place]))[ends]
+        others = rare[place]
+        words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(others))[ends].astype(np.int32)), names.take(pa.array(place[others])))
+        return ids[place], ends, np.diff(sums), words
 
 
 def first_weights(frequency: np.ndarray | None = None) -> Weights:
@@ -124,15 +127,29 @@ def unflat(x: np.ndarray) -> Weights:
     return {k: p.reshape(s) for (k, s), p in zip(SHAPES.items(), np.split(x.astype(np.float32), ends[:-1]), strict=True)}
 
 
-def windows(tokens: np.ndarray) -> np.ndarray:
-    """n x 4: the two tokens before and after each; beyond the ends stands IDS."""
-    p = np.concatenate([np.full(SIDE, IDS), tokens, np.full(SIDE, IDS)])
-    return np.stack([p[i : i + len(tokens)] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
+def windows(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """n x 4: the two tokens before and after each; beyond the ends of a text stands IDS."""
+    at = np.arange(len(tokens), dtype=np.int32) + np.repeat(np.arange(1, len(ends), dtype=np.int32) * SIDE, np.diff(ends))
+    p = np.full(len(tokens) + SIDE * len(ends), IDS, np.int32)
+    p[at] = tokens
+    return np.stack([p[at + i] for i in range(-SIDE, SIDE + 1) if i], axis=1)
+
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place.  The largest of all rows is taken off, which is cheap; rows far below it are cut off at 1e-37."""
+    x -= x.max()
+    np.exp(x, out=x)
+    x += np.float32(1e-37)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one place."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -145,11 +162,11 @@ def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
 
 def log_probs(w: Weights, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     order, classes = _by_class(tokens)
-    t, n = tokens[order], np.arange(len(tokens))
+    t = tokens[order]
     h = np.tanh(w["embed"][around[order]].reshape(len(t), -1) @ w["w1"] + w["b1"])
-    found = _log_softmax(h @ w["wc"] + w["bc"])[n, t // SIZE].astype(float)
+    found = _log_of(h @ w["wc"] + w["bc"], t // SIZE).astype(float)
     for c, part in classes:
-        found[part] += _log_softmax(h[part] @ w["ww"][c] + w["bw"][c])[n[: part.stop - part.start], t[part] % SIZE]
+        found[part] += _log_of(h[part] @ w["ww"][c] + w["bw"][c], t[part] % SIZE)
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -162,13 +179,13 @@ def gradients(w: Weights, tokens: np.ndarray, around: np.ndarray) -> Weights:
     share = np.float32(1 / len(t))
     x = w["embed"][at].reshape(len(t), -1)
     h = np.tanh(x @ w["w1"] + w["b1"])
-    d = np.exp(_log_softmax(h @ w["wc"] + w["bc"]))
+    d = _softmax(h @ w["wc"] + w["bc"])
     d[n, t // SIZE] -= 1
     d *= share
     g = {"wc": h.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
     dh = d @ w["wc"].T
     for c, part in classes:
-        d = np.exp(_log_softmax(h[part] @ w["ww"][c] + w["bw"][c]))
+        d = _softmax(h[part] @ w["ww"][c] + w["bw"][c])
         d[n[: len(d)], t[part] % SIZE] -= 1
         d *= share
         g["ww"][c], g["bw"][c] = h[part].T @ d, d.sum(axis=0)
@@ -176,7 +193,11 @@ def gradients(w: Weights, tokens: np.ndarray, around: np.ndarray) -> Weights:
     dh *= 1 - h * h
     g["w1"], g["b1"] = x.T @ dh, dh.sum(axis=0)
     dx = (dh @ w["w1"].T).reshape(-1, EMBED)
-    g["embed"] = np.stack([np.bincount(at.ravel(), dx[:, j], IDS + 1) for j in range(EMBED)], axis=1).astype(np.float32)
+    flat_at = at.ravel()
+    by = np.argsort(flat_at.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(flat_at[by], prepend=-1))
+    g["embed"] = np.zeros((IDS + 1, EMBED), dx.dtype)
+    g["embed"][flat_at[by[first]]] = np.add.reduceat(dx[by], first)
     return g
 
 
@@ -193,34 +214,25 @@ def train(w: Weights, runs, rate: float = RATE) -> tuple[Weights, int]:
     return w, seen
 
 
-def _runs(texts, vocabulary: Vocabulary):
-    """Batches of STEP tokens and their windows; windows do not cross documents."""
-    held, size = [], 0
-    for text in texts:
-        tokens, _, _ = vocabulary.tokens(text)
-        around = windows(tokens)
-        for i in range(0, len(tokens), STEP):
-            held.append((tokens[i : i + STEP], around[i : i + STEP]))
-            size += len(held[-1][0])
-            if size >= STEP:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+def _runs(batches, vocabulary: Vocabulary):
+    """Runs of STEP tokens and their windows, cut alike however the texts come in batches; windows do not cross texts."""
+    held = []
+    for texts in batches:
+        tokens, ends, _, _ = vocabulary.tokens(texts)
+        held.append((tokens, windows(tokens, ends)))
+        if sum(len(t) for t, _ in held) >= STEP:
+            tokens, around = map(np.concatenate, zip(*held, strict=True))
+            whole = len(tokens) - len(tokens) % STEP
+            yield from ((tokens[i : i + STEP], around[i : i + STEP]) for i in range(0, whole, STEP))
+            held = [(tokens[whole:], around[whole:])]
+    if held and (rest := tuple(map(np.concatenate, zip(*held, strict=True))))[0].size:
+        yield rest
 
 
 def _count(batches):
-    def give(seen):
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    seen = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update(words_of(text.as_py()))
-        if len(seen) > COUNTED:
-            yield give(seen)
-            seen = Counter()
-    yield give(seen)
+    for batch in gathered(batches, COUNTED):
+        names, place, _ = words_of(batch.column(0))
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(place, minlength=len(names)).astype(np.int64))], ["word", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -260,14 +272,21 @@ def _mean(group: pa.Table) -> pa.Table:
     return pa.table({"piece": group["piece"][:1], "part": pa.array([part], pa.int32()), "n": [n], "x": pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())})
 
 
+def _by_lot(batches):
+    """Lot and texts of each stretch of a batch."""
+    for batch in batches:
+        lots = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), len(lots)]
+        yield from ((int(lots[a]), batch.column(1).slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 def one_round(docs: DataFrame, words, weights: Weights, lots: int) -> Weights:
     """Every lot is trained on its documents from ``weights``; the mean of what they reach."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def train_lots(batches):
-        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1), strict=True))
-        for lot, own in groupby(rows, key=lambda r: r[0]):
-            w, n = train(held.value, _runs((t.as_py() for _, t in own), words.value))
+        for lot, own in groupby(_by_lot(batches), key=lambda r: r[0]):
+            w, n = train(held.value, _runs((texts for _, texts in own), words.value))
             if n:
                 x = flat(w)
                 pieces = [x[i : i + PIECE].tobytes() for i in range(0, len(x), PIECE)]
@@ -304,29 +323,11 @@ def scored(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS, held_words: int =
 
     def score(batches):
         for batch in batches:
-            n, rare, sums = [], [], np.zeros(batch.num_rows)
-            pending, size = [], 0
-
-            def flush(pending, sums):
-                tokens, around = map(np.concatenate, zip(*((t, a) for _, t, a in pending), strict=True))
-                owner = np.repeat([i for i, *_ in pending], [len(t) for _, t, _ in pending])
-                np.add.at(sums, owner, log_probs(held.value, tokens, around))
-
-            for i, text in enumerate(batch.column(1)):
-                tokens, shares, others = words.value.tokens(text.as_py())
-                n.append(len(tokens))
-                rare.append(others)
-                sums[i] += shares
-                around = windows(tokens)
-                for j in range(0, len(tokens), STEP):
-                    pending.append((i, tokens[j : j + STEP], around[j : j + STEP]))
-                    size += len(pending[-1][1])
-                    if size >= STEP:
-                        flush(pending, sums)
-                        pending, size = [], 0
-            if pending:
-                flush(pending, sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "part", "rare"])
+            tokens, ends, sums, rare = words.value.tokens(batch.column(1))
+            around, found = windows(tokens, ends), np.zeros(len(tokens) + 1)
+            for i in range(0, len(tokens), STEP):
+                found[i + 1 : i + 1 + STEP] = log_probs(held.value, tokens[i : i + STEP], around[i : i + STEP])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(sums + np.diff(np.cumsum(found)[ends])), rare], ["doc_id", "n_tokens", "part", "rare"])
 
     rows = in_batches(docs).mapInArrow(score, "doc_id long, n_tokens long, part double, rare array<binary>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so the numbers stay

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, shared_dir, table
+from .common import gathered, in_batches, shared_dir, table
 
 END_ID, SHARD_TOKENS, PAIRS_A_ROUND, LEAST_COUNT = 0, 1 << 19, 2048, 8
 #: Units whose ids a worker keeps; pieces encoded at once; bytes of texts encoded at once; units whose ids are gathered at once.
@@ -301,19 +301,6 @@ ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.list
                    *((c, pa.binary()) for c in ("symbols", "doc_ends", "n_ids", "rules", "expansions"))])
 
 
-def _gathered(batches):
-    """Batches of about BATCH_TEXT bytes, so that there are fewer distinct units to look up."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= BATCH_TEXT:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int | None = None) -> None:
     """Write ``docs`` (doc_id, text) in ascending doc_id order."""
 
@@ -323,7 +310,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         end = np.array([end_id], "<u2")
         names, ids, size, number = [], [], 0, 0
-        for batch in _gathered(batches):
+        for batch in gathered(batches, BATCH_TEXT):  # the fewer, the fewer distinct units to look up
             for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 names.append(doc_id)
                 ids.append(np.concatenate([found, end]))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality
 
@@ -31,3 +35,33 @@ def test_other_kinds_of_low_quality(spark, kind):
     got = quality.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).select("doc.doc_id", "score").collect()
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 != 0) for r in held]) > 0.97
+
+
+def plain_statistics(text):
+    t = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+    chars, n = max(1, len(t)), max(1, len(words))
+    return {
+        "words": math.log1p(len(words)), "word_chars": chars / n, "distinct_words": len(set(words)) / n, "same_as_last": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "same_lines": 1 - len(set(lines)) / len(lines), "line_words": n / len(lines), "marks": len(re.findall(r"[%&#$*@^~<>{}=_\\\[\]]", t)) / chars,
+        "capitals": sum(unicodedata.category(c) == "Lu" for c in t) / chars, "digits": sum(c in "0123456789" for c in t) / chars,
+        "bars": t.count("|") / n, "shouts": t.count("!") / n, "stops": t.count(".") / n, "commas": t.count(",") / n,
+    }
+
+
+def test_statistics_and_compiled_scores_against_plain_python(spark):
+    rng = np.random.default_rng(12)
+    marks = ["%", "&x", "[a]", "1.", "Été", "ÀB", "|", "!!", "a", "a", "word,", "\n", "\n\n", "\t", "\u00a0"]
+    texts = [" ".join(rng.choice(marks, int(n))) for n in rng.integers(0, 60, 200)] + [None, "", "\n", "x" * 5000, "y " * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stats = quality.with_statistics(rows)
+    got = {r["doc"]["doc_id"]: r["stats"].asDict() for r in stats.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_statistics(t), abs=1e-12), repr(t)[:80]
+    x = np.array([[got[i][k] for k in quality.NAMES] for i in range(len(texts))])
+    y = (x[:, 2] + rng.normal(0, 0.2, len(x)) > np.median(x[:, 2])).astype(float)
+    bias, rules = quality.fit(x, y)
+    assert rules
+    want = 1 / (1 + np.exp(-(bias + sum(w * quality.fires(r, x) for w, r in rules))))
+    scores = {r["id"]: r["score"] for r in stats.select(F.col("doc.doc_id").alias("id"), quality.compiled(bias, rules).alias("score")).collect()}
+    assert [scores[i] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-9)

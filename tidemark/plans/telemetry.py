@@ -40,14 +40,14 @@ CUSTOMERS = r"""customers AS (SELECT c_custkey AS n, c_custkey::VARCHAR AS id,
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
-    """A payload of points for each event type and day, with repeated points."""
+    """A payload of points for each event type and hour, with repeated points, so that none grows with the number of days."""
     ms = F.unix_millis(F.date_trunc("minute", "ts").cast("timestamp"))
     point = F.struct(F.col("event_id"), F.struct(ms.alias("ts"), F.col("value").cast("string").alias("value")).alias("p"))
     rows = events(spark, d).withColumn("key", F.when(F.col("event_id") % 2 == 0, "nivelPorcentual").otherwise("nivelEstanque"))
-    rows = rows.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "key").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    rows = rows.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("hour"), "key").agg(F.array_sort(F.collect_list(point)).alias("points"))
     points = F.transform("points", lambda p: p["p"])
-    rows = rows.groupBy("event_type", "day").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", points)))).alias("payload"))
-    return rows
+    rows = rows.groupBy("event_type", "day", "hour").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", points)))).alias("payload"))
+    return rows.drop("hour")
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:

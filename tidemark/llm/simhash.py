@@ -27,10 +27,10 @@ block has a fingerprint of its own.
 2. In the join fingerprints of the whole texts, of ``WIDE`` words of 64 bits, are
    compared (``far``: three standard deviations above what 0.8 gives).
 3. What is left is compared by whole shingle sets.  First each text of a key
-   with one leader, at first the one that meets most texts in all its keys and
-   so is likely what others were copied from, which is linear and joins large
-   groups; then those of a key that are still in different groups with each
-   other.  No key is capped and no pair of a key is left out.
+   with one leader, the one that meets most texts in all its keys and so is
+   likely what others were copied from, which is linear and joins large groups;
+   then those of a key that are still in different groups with each other, each
+   pair at the first of its keys.  No key is capped and no pair is left out.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other,
 and are copies of each other; fewer words than a shingle give one shingle of
@@ -62,8 +62,8 @@ SHINGLE, DISTANCE, BLOCKS, SEED = 3, 2, 8, 42
 STEP = 1 << 16
 #: Of near copies: words to a shingle, least Jaccard similarity, blocks joined, words of 64 bits.
 COPY_SHINGLE, SIMILARITY, BLOCK_KEYS, WIDE = 5, 0.8, 24, 16
-#: Rounds of leaders at most, and pairs for each row of a key that are few enough to do without.
-LEADERS, FEW = 2, 4
+#: Rounds of leaders.
+LEADERS = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -247,26 +247,26 @@ def _copy_roots(named: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = keyed.select(F.explode("keys").alias("key"), "node")
     members = keys.join(keys.groupBy("key").count().where("count > 1"), "key")
     met = F.sum("count").over(Window.partitionBy("node"))  # texts met in all keys: most for the text that others are copies of
-    members = saved(members.select("key", "node", met.alias("met")), "members")
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    members = saved(members.select("key", "node", met.alias("met"), before.alias("before")), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "best.row")
     sets = saved(in_batches(_picked(named, wanted).select("node", "doc.text")).mapInArrow(_sets, SETS), "sets")
     left, roots = members.withColumn("root", F.col("node")), None
     for k in range(LEADERS + 1):
-        sizes = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots"))
-        open_ = sizes.where("roots > 1")
-        rows, pairs = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not pairs:
-            break
+        open_ = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
         left = saved(left.join(open_.select("key"), "key"), "left")
+        if left.isEmpty():
+            break
         wide = left.join(sets.drop("held"), "node")
-        last = k == LEADERS or pairs <= FEW * rows
+        last = k == LEADERS
         if last:
             other = wide.select("key", *(F.col(c).alias(f"other_{c}") for c in wide.columns if c != "key"))
             apart = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root"))
-            found = wide.join(other, "key").where(apart & _close("", "other_")).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+            once = ~F.arrays_overlap("before", "other_before")  # at the first of the keys that two texts share
+            found = wide.join(other, "key").where(apart & _close("", "other_") & once).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
         else:
             of = F.struct(*(F.col(c).alias(f"lead_{c}") for c in ("node", "root", "far", *BITS)))
-            lead = wide.groupBy("key").agg(F.min_by(of, F.struct(F.lit(0) if k else -F.col("met"), F.xxhash64(F.lit(k), "node"), "node")).alias("l")).select("key", "l.*")
+            lead = wide.groupBy("key").agg(F.min_by(of, F.struct(-F.col("met"), "node")).alias("l")).select("key", "l.*")
             found = wide.join(lead, "key").where((F.col("root") != F.col("lead_root")) & _close("", "lead_")).select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
         links = saved(_compared(saved(found.distinct(), "pairs"), sets), "links")
         known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -1,0 +1,86 @@
+"""Fill-in-middle transformation against a plain one over a list of units."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.llm import fillmiddle as fim
+
+UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]", re.S)
+ODD = ["", "a", ".", "ab", "a.b", "<P>", "x<S>y", "<M", "P>", "<P<S", "é", "aéb", "<é>", "?P?", "𝔘ni😀x", "a\nb\r\nc", "PSM<>", "\x00a\x00", "a" * 5000, "é" * 3000, "word. " * 4000]
+
+
+def plain(doc_id, text):
+    """n, form, prefix, middle, output by the contract's own words."""
+    digest = hashlib.sha256(f"1:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    units = UNIT.findall(text)
+    n = len(units)
+    if not text or any(s in text for s in fim.SENTINELS) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < 20:
+        return n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(-5, 10**12), st.one_of(st.sampled_from(ODD), st.text(alphabet=st.sampled_from("abPSM<>. é😀\n?"), max_size=40), st.text(max_size=60)))
+def test_as_over_a_list_of_units(doc_id, text):
+    assert fim.rearranged(doc_id, text) == plain(doc_id, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abPSM<>. é"), max_size=40), st.data())
+def test_every_unit_is_found(text, data):
+    units = UNIT.findall(text)
+    found = fim.scanner(fim.SENTINELS).scan(text)
+    assert found.n == len(units)
+    k = data.draw(st.integers(0, len(units)))
+    assert found.place(k) == len("".join(units[:k]))
+    assert found.marked == any(s in text for s in fim.SENTINELS)
+
+
+def test_events_are_sparse():
+    """A stretch without changes gives no event, however long."""
+    assert len(fim.scanner(fim.SENTINELS).scan("a" * 10000 + "-" * 10000).bounds) == 3
+
+
+def test_sentinels_that_overlap_are_refused():
+    for bad in (("<P>", "<P>x", "<M>"), ("ab", "bc", "cd"), ("aba", "x", "y"), ("", "x", "y")):
+        with pytest.raises(ValueError):
+            fim.Scanner(bad)
+
+
+def test_other_sentinels():
+    marks = ("«p»", "«s»", "«m»")
+    assert fim.scanner(marks).scan("x «s» y").marked and not fim.scanner(marks).scan("x ?s? y «q»").marked
+
+
+def test_rows(spark):
+    """Nulls, repeated rows, clashing and dotted columns; the texts come back exactly."""
+    texts = [*ODD, None]
+    rows = [(i if i % 7 else None, t, "x", i) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, output string, `form.n` int")
+    out = fim.transformed(docs).select("doc.*", F.col("output").alias("made"), "form", "n", "prefix_chars", "middle_chars", fim.restored(F.col("output"), F.col("form")).alias("back"))
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = r["text"] or ""
+        assert (r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["made"]) == plain(r["doc_id"], text)
+        assert r["back"] == text and r["output"] == "x"
+    assert {r["form"] for r in got} == {"plain", "psm", "spm"}
+
+
+def test_shares_and_empty(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'one two, three' AS text")
+    forms = {r["form"]: r["count"] for r in fim.transformed(docs, plain_from=50, spm_below=50).groupBy("form").count().collect()}
+    assert 900 < forms["plain"] < 1100 and 400 < forms["spm"] < 600
+    assert fim.transformed(docs.limit(0)).collect() == []

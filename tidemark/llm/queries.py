@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neighbours, pseudolikelihood, quality, simhash, suffixdedup, tokenstore, urlrules
+from . import chat, decontaminate, fillmiddle, mixing, neighbours, periodicruns, pseudolikelihood, quality, simhash, suffixdedup, tokenstore, urlrules
 
 QUERIES = {
     "op1_tokenstore": tokenstore.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,
     "op10_suffix_dedup": suffixdedup.query,
+    "op12_fill_middle": fillmiddle.query,
+    "op13_periodic_runs": periodicruns.query,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
@@ -22,4 +24,6 @@ SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_chat": chat.SQL,
     "op10_suffix_dedup": suffixdedup.SQL,
+    "op12_fill_middle": fillmiddle.SQL,
+    "op13_periodic_runs": periodicruns.SQL,
 }

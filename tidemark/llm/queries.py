@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fillmiddle, mixing, neighbours, periodicruns, pseudolikelihood, quality, simhash, suffixdedup, tokenstore, urlrules
+from . import chat, decontaminate, fillmiddle, mixing, neighbours, periodicruns, pieces, pseudolikelihood, quality, simhash, suffixdedup, tokenstore, urlrules
 
 QUERIES = {
     "op1_tokenstore": tokenstore.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,
     "op10_suffix_dedup": suffixdedup.query,
+    "op11_pieces": pieces.query,
     "op12_fill_middle": fillmiddle.query,
     "op13_periodic_runs": periodicruns.query,
 }

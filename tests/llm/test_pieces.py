@@ -94,6 +94,14 @@ def test_a_full_cache_starts_anew(monkeypatch):
     assert len(enc.known) <= 6
 
 
+def test_portions():
+    texts = ["a" * 10, None, "", "b" * 25, "c", "d" * 9, "e" * 9, "f"]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts)})
+    got = [p.column(0).to_pylist() for p in pieces.portions(iter([batch.slice(0, 3), batch.slice(3, 5)]), 0, 20)]
+    assert [t for p in got for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 20 for p in got)
+
+
 def test_other_models_are_refused(tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(default_model(), "rb") as f:

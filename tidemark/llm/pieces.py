@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_BYTES, gathered, in_batches, table, whole_row
+from .common import gathered, in_batches, table, whole_row
 
 MODEL = "piece_bpe_32k.model"
-#: Units whose pieces a worker keeps; symbols of a unit beyond which its pairs wait in a heap.
-CACHE_UNITS, MANY = 500_000, 64
+#: Units whose pieces a worker keeps; symbols of a unit beyond which its pairs wait in a heap; bytes of texts encoded at once.
+CACHE_UNITS, MANY, AT_ONCE = 500_000, 64, 2 << 20
 # Kinds of models and of pieces in the model file, the mark of white space.
 BPE, NORMAL, CONTROL, UNKNOWN, BYTE = 2, 1, 3, 2, 6
 MARK = "▁"
@@ -178,7 +178,7 @@ class Encoder:
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         at = offsets - offsets[0]
-        x = Aligned(data, at, np.arange(len(data)), np.ones(len(data), np.int32), at[1:])
+        x = Aligned(data, at, np.arange(len(data), dtype=np.int32), np.ones(len(data), np.int32), at[1:])
         if self.map:
             x = self.map.apply(x)
         squeeze, start = self.rules.remove_extra_whitespaces, at[:-1]
@@ -329,6 +329,18 @@ class Encoder:
         return ids, begins, ends, pieces + np.arange(len(pieces))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts have about ``size`` bytes; a longer text is one by itself."""
+    for batch in gathered(batches, size):
+        until = np.cumsum(pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < len(batch):
+            before = int(until[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(until, before + size, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -358,7 +370,7 @@ def encoded(docs: DataFrame, model: str | None = None, keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in gathered(batches, BATCH_BYTES):
+        for batch in portions(batches, 1, AT_ONCE):
             ids, begins, ends, at = enc.encode(batch.column(1))
             lists = lambda v: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, pa.int32()))  # noqa: B023, E731
             make = {

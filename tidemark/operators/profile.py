@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import LEVELS
+from . import ranks
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -16,23 +17,32 @@ def _long(series: DataFrame, variables: tuple[str, ...]) -> DataFrame:
 
 
 def stats(series: DataFrame, variables: tuple[str, ...] = LEVELS) -> DataFrame:
-    """Range of time and, for each variable, min, max, mean, median, std, n_total, n_valid, missing_pct."""
+    """Range of time and, for each variable, min, max, mean, median, std, n_total, n_valid, missing_pct.
+
+    The median is found by counts (``ranks``), so no task holds an asset's values.
+    """
     def of(v: str) -> list[Column]:
         share = F.try_divide((F.count("*") - F.count(v)) * F.lit(100.0), F.count("*"))
         return [
-            F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.avg(v).alias(f"{v}_mean"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median"),
+            F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.avg(v).alias(f"{v}_mean"),
             F.stddev_samp(v).alias(f"{v}_std"), F.count("*").alias(f"{v}_n_total"), F.count(v).alias(f"{v}_n_valid"), share.alias(f"{v}_missing_pct"),
         ]
-    return series.groupBy("asset_id").agg(F.min("timestamp").alias("date_min"), F.max("timestamp").alias("date_max"), *(c for v in variables for c in of(v)))
+    per = series.groupBy("asset_id").agg(F.min("timestamp").alias("date_min"), F.max("timestamp").alias("date_max"), *(c for v in variables for c in of(v)))
+    middle = ranks.quantiles(_long(series, variables), ["asset_id", "variable"], "value", [0.5])
+    middle = middle.groupBy("asset_id").agg(*(F.max(F.when(F.col("variable") == v, F.col("value"))).alias(f"{v}_median") for v in variables))
+    names = ("min", "max", "mean", "median", "std", "n_total", "n_valid", "missing_pct")
+    both = per.join(middle.withColumnRenamed("asset_id", "_of"), F.col("asset_id").eqNullSafe(F.col("_of")), "left")
+    return both.select("asset_id", "date_min", "date_max", *(f"{v}_{n}" for v in variables for n in names))
 
 
 def percentiles(series: DataFrame, variables: tuple[str, ...] = LEVELS, points: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """Exact, linearly interpolated; a variable without values has NULLs."""
-    at = F.array(*(F.lit(p / 100) for p in points))
-    names = F.array(*(F.lit(f"P{p}") for p in points))
-    none = F.array(*(F.lit(None).cast("double") for _ in points))
-    rows = _long(series, variables).groupBy("asset_id", "variable").agg(F.coalesce(F.percentile("value", at), none).alias("found"))
-    return rows.select("asset_id", "variable", F.explode(F.arrays_zip(names.alias("percentile"), F.col("found").alias("value"))).alias("p")).select("asset_id", "variable", "p.percentile", "p.value")
+    rows = _long(series, variables)
+    found = ranks.quantiles(rows, ["asset_id", "variable"], "value", [p / 100 for p in points])
+    without = rows.groupBy("asset_id", "variable").agg(F.count("value").alias("n")).where("n = 0")
+    without = without.select("asset_id", "variable", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))).alias("point"), F.lit(None).cast("double").alias("value"))
+    name = F.element_at(F.array(*(F.lit(f"P{p}") for p in points)), F.col("point") + 1)
+    return found.unionByName(without).select("asset_id", "variable", name.alias("percentile"), "value")
 
 
 def histogram(rows: DataFrame, value: str, bins: int, keys: list[str] | None = None) -> DataFrame:

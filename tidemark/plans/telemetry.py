@@ -175,7 +175,7 @@ QUERIES = {
     "level_percentiles": lambda s, d: rounded(profile.percentiles(series(s, d))),
     "level_histogram": lambda s, d: rounded(profile.histogram(series(s, d), "nivelPorcentual", 20, ["asset_id"])),
     "rolling_median": lambda s, d: rounded(recharge.smoothed(series(s, d), tiebreak=TIES)),
-    "local_extrema": lambda s, d: rounded(recharge.extrema(recharge.smoothed(series(s, d), tiebreak=TIES)).where("is_min OR is_max")),
+    "local_extrema": lambda s, d: rounded(recharge.turning_points(series(s, d), tiebreak=TIES)),
     "recharge_events": lambda s, d: rounded(recharge.recharge_events(series(s, d), tiebreak=TIES)),
     "amplitude_histogram": lambda s, d: rounded(profile.histogram(once(recharge.recharge_events(series(s, d), tiebreak=TIES)), "amplitude", 10)),
     "correlation": lambda s, d: rounded(profile.correlation(series(s, d))),

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_or_name_or_id
-from ..session import once
 
 VALUE = "struct<value: string>"
 ENTITIES = f"""struct<cmdId: int, data: struct<data: array<struct<
@@ -46,27 +43,35 @@ def last_of_each(assets: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in assets.columns))
 
 
-def walked(texts: DataFrame, text: str, levels: int = 4) -> DataFrame:
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Rows and levels that a walk may have; Spark's own limits are made for hand-written recursion.
+WALK_LIMITS = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": "-1"}
+
+
+def walked(texts: DataFrame, text: str) -> DataFrame:
     """Every object in JSON texts, at any depth: the other columns and ``node`` (variant).
 
-    A scan goes ``levels`` deep: each step keeps a row and adds the children of rows that the step before added.  What
-    lies deeper is walked by further scans of the deepest objects and lists (in the checkpoint folder, if one is set).
+    A recursive query: each step has the objects and lists right below those of the step before, and ends where there are
+    none.  The session's limits of recursion are lifted.  What is no JSON gives no rows.
     """
-    keep = [c for c in texts.columns if c != text]
-    child = "array<struct<node: variant, fresh: boolean>>"
-    fresh, found = texts.select(*keep, F.try_parse_json(text).alias("node"), F.lit(True).alias("fresh")).where("node IS NOT NULL"), []
-    kids = F.coalesce(F.try_variant_get("node", "$", "array<variant>"), F.map_values(F.try_variant_get("node", "$", "map<string,variant>")))
-    kind = F.schema_of_variant("node")
-    while not found or not fresh.isEmpty():
-        rows = fresh
-        for _ in range(levels):
-            own = F.array(F.struct("node", F.lit(False).alias("fresh"))).cast(child)
-            new = F.when(F.col("fresh"), F.transform(kids, lambda k: F.struct(k.alias("node"), F.lit(True).alias("fresh"))).cast(child))
-            rows = rows.select(*keep, F.explode(F.concat(own, F.coalesce(new, F.array().cast(child)))).alias("e")).select(*keep, "e.node", "e.fresh")
-        rows = once(rows.select(*keep, "node", "fresh", kind.alias("kind")).where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%' AND fresh"))
-        found.append(rows.where("NOT fresh").select(*keep, "node"))
-        fresh = rows.where("fresh").drop("kind")
-    return reduce(DataFrame.unionAll, found)
+    spark = texts.sparkSession
+    for name, value in WALK_LIMITS.items():
+        spark.conf.set(name, value)
+    keep = [_quoted(c) for c in texts.columns if c != text]
+    names = ", ".join([*keep, "node"])
+    found = spark.sql(
+        f"""WITH RECURSIVE walk({names}) AS (
+            SELECT {', '.join([*keep, f'try_parse_json({_quoted(text)})'])} FROM {{texts}} WHERE try_parse_json({_quoted(text)}) IS NOT NULL
+            UNION ALL
+            SELECT {', '.join([*(f'walk.{c}' for c in keep), 'below.value'])} FROM walk, LATERAL variant_explode(walk.node) AS below
+            WHERE schema_of_variant(below.value) LIKE 'OBJECT%' OR schema_of_variant(below.value) LIKE 'ARRAY%')
+        SELECT {names} FROM walk""",
+        texts=texts,
+    )
+    return found.where(F.schema_of_variant("node").like("OBJECT%"))
 
 
 def _text(path: str) -> Column:
@@ -74,17 +79,17 @@ def _text(path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get("node", path, "variant")) == "STRING", F.try_variant_get("node", path, "string"))
 
 
-def walk_entities(texts: DataFrame, text: str, levels: int = 4) -> DataFrame:
+def walk_entities(texts: DataFrame, text: str) -> DataFrame:
     """Objects with entityId.id and a name, label or entityName: the other columns, id, name."""
-    nodes = walked(texts, text, levels)
+    nodes = walked(texts, text)
     keep = [c for c in nodes.columns if c != "node"]
     name = F.coalesce(*(F.nullif(_text(p), F.lit("")) for p in ("$.name", "$.label", "$.entityName")))
     return nodes.select(*keep, _text("$.entityId.id").alias("id"), name.alias("name")).where("id <> '' AND name IS NOT NULL")
 
 
-def walk_types(texts: DataFrame, text: str, levels: int = 4) -> DataFrame:
+def walk_types(texts: DataFrame, text: str) -> DataFrame:
     """Distinct name, type of objects with entityType ASSET that have both as strings."""
-    nodes = walked(texts, text, levels).where(_text("$.entityType") == "ASSET")
+    nodes = walked(texts, text).where(_text("$.entityType") == "ASSET")
     pick = lambda a, b: F.coalesce(F.nullif(_text(a), F.lit("")), F.nullif(_text(b), F.lit("")))
     return nodes.select(pick("$.name", "$.label").alias("name"), pick("$.type", "$.assetType").alias("type")).na.drop().distinct()
 

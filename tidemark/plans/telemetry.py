@@ -16,7 +16,7 @@ ASSETS = ["click", "error", "purchase", "scroll", "view"]
 HOUR = 60
 ZONE = "America/Santiago"
 TIES = ("event_id",)
-EVENTS_A_MESSAGE = 1000
+EVENTS_A_MESSAGE, ENTITIES_A_PAGE = 1000, 100
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -59,7 +59,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entity_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of entities; customers of nation 0 are no assets, every id stands on two pages."""
+    """Pages of at most ENTITIES_A_PAGE entities; customers of nation 0 are no assets, every id stands on two pages."""
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey").join(_customers(spark, d), F.col("c_custkey") == F.col("n"))
     value = lambda name: F.struct(F.col(name).alias("value"))
     entity = F.struct(
@@ -67,7 +67,8 @@ def _entity_messages(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.struct(value("label").alias("label"), value("name").alias("name")).alias("ENTITY_FIELD")).alias("latest"),
         F.concat(F.lit("type"), F.col("n") % 4).alias("type"), F.col("name"),
     )
-    rows = c.withColumn("page", F.explode(F.array(F.col("n") % 8, F.lit(8) + F.col("n") % 8)))
+    first = 2 * F.floor(F.col("n") / ENTITIES_A_PAGE)
+    rows = c.withColumn("page", F.explode(F.array(first, first + 1)))
     rows = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("n", entity.alias("e")))).alias("es"))
     data = F.struct(F.transform("es", lambda x: x["e"]).alias("data"), F.lit(False).alias("hasNext"))
     return rows.select("page", F.to_json(F.struct(F.lit(1).alias("cmdId"), data.alias("data"))).alias("message"))
@@ -261,7 +262,7 @@ def _stats(v: str) -> str:
   round(stddev_samp("{v}"), 6) AS "{v}_std", count(*) AS "{v}_n_total", count("{v}") AS "{v}_n_valid", round((count(*) - count("{v}")) * 100.0::DOUBLE / count(*), 6) AS "{v}_missing_pct" """
 
 
-_PAGES = f"""{CUSTOMERS}, pages AS (SELECT n, id, label, name, c_nationkey, unnest([n % 8, 8 + n % 8]) AS page FROM customers JOIN customer ON n = c_custkey),
+_PAGES = f"""{CUSTOMERS}, pages AS (SELECT n, id, label, name, c_nationkey, unnest([2 * (n // 100), 2 * (n // 100) + 1]) AS page FROM customers JOIN customer ON n = c_custkey),
 assets AS (SELECT page, n, id, coalesce(nullif(label, ''), nullif(name, ''), id) AS label, coalesce(nullif(name, ''), nullif(label, ''), id) AS name FROM pages WHERE c_nationkey <> 0)"""
 _CELLS = r"""cells AS (SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 'epoch_s' WHEN 'purchase' THEN 'epoch_ms' WHEN 'view' THEN 'string' ELSE 'epoch_us' END AS strategy,
   CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN -1 ELSE epoch_us(ts) // 1000000 END AS epoch_s FROM events)"""

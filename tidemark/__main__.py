@@ -92,7 +92,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def export(spark: SparkSession, a: argparse.Namespace) -> int:
     """Fetch what is asked for and not there yet, group by group; gives the number of asset-months fetched."""
-    spark.dataSource.register(rest.TelemetryService)
+    rest.register(spark)
     settings = bounds.Settings.from_env(url=a.url, zone=a.timezone)
     given = bounds.request_headers(settings.cookie, settings.authorization) + (bounds.headers_from(a.headers) if a.headers else [])
     headers = dict(h.split(": ", 1) for h in given)

@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import once
+
 NUMERIC = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Adds 1, 2, ... in an order without ties.
+
+    Rows are sorted in parts by range; what is counted on the driver are the parts.  The parts are written, or kept on the
+    executors' disks where no checkpoint folder is set, as ranges that are made anew may be others.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    kept = once(parts)
+    kept = kept.persist(StorageLevel.DISK_ONLY) if kept is parts else kept
+    counts = kept.groupBy("_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).orderBy("_part").collect()  # a row for each part
+    before, at = [], 0
+    for part, first, n in counts:
+        before.append((part, at - first + 1))
+        at += n
+    shift = rows.sparkSession.createDataFrame(before, "_part int, _shift long")
+    return kept.join(F.broadcast(shift), "_part").select(*rows.columns, (F.col("_id") + F.col("_shift")).alias(name))
+
+
 def by_appearance(rows: DataFrame, asset: str, order: list[str]) -> DataFrame:
-    """asset, number: 1 for the asset that comes first in ``order``, and so on; one row per asset."""
-    first = rows.where(F.col(asset).isNotNull()).groupBy(asset).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(asset, F.row_number().over(Window.orderBy("first")).alias("number"))
+    """asset, first: the first row's ``order`` of each asset."""
+    return rows.where(F.col(asset).isNotNull()).groupBy(asset).agg(F.min(F.struct(*order)).alias("first"))
 
 
 def aliases(rows: DataFrame, asset: str, order: list[str]) -> DataFrame:
     """asset, alias (ASSET_001 for the first to appear, ...)."""
-    return by_appearance(rows, asset, order).select(asset, F.format_string("ASSET_%03d", "number").alias("alias"))
+    numbers = numbered(by_appearance(rows, asset, order), ["first", asset])
+    return numbers.select(asset, F.format_string("ASSET_%03d", "number").alias("alias"))
 
 
 def anonymised(rows: DataFrame, asset: str, order: list[str], drop_identifiers: bool = False) -> DataFrame:
@@ -28,7 +49,7 @@ def anonymised(rows: DataFrame, asset: str, order: list[str], drop_identifiers:
 
 def first_assets(rows: DataFrame, asset: str, n: int, order: list[str]) -> DataFrame:
     """Rows of the first ``n`` assets to appear."""
-    few = by_appearance(rows, asset, order).where(F.col("number") <= n).select(asset)
+    few = by_appearance(rows, asset, order).orderBy("first", asset).limit(n).select(asset)
     return rows.join(few, asset, "left_semi")
 
 

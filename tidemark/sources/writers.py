@@ -24,23 +24,38 @@ def write_wide(wide: DataFrame, path: str, group: str) -> None:
 
 
 def mark_fetched(work: DataFrame, path: str, group: str) -> None:
-    """Note the asset-months of a work-list as fetched, also those that had no rows and so left no folder."""
+    """Add the asset-months of a work-list to the list of what is done, once their rows are there; also those that had none and so left no folder.
+
+    A list is written whole or not at all, by Spark's committer.
+    """
     done = work.select(F.lit(group).alias("group"), sanitize(F.col("asset_label")).alias("asset"), "year", "month")
-    done.write.mode("append").json(f"{path}/{FETCHED}")
+    done.coalesce(1).write.mode("append").json(f"{path}/{FETCHED}")
+
+
+DONE = "`group` string, asset string, year int, month int"
 
 
 def written(spark, path: str) -> DataFrame | None:
-    """group, asset, year, month of what is there, from the folders' names alone and from the notes; None without either."""
+    """group, asset, year, month of what is there: from the lists of what is done, and for exports without one from the names of folders; None without either.
+
+    Exported rows are not read.
+    """
     found = None
-    for rows in (lambda: spark.read.option("header", True).csv(path), lambda: spark.read.schema("`group` string, asset string, year int, month int").json(f"{path}/{FETCHED}")):
+    for rows in (lambda: spark.read.schema(DONE).json(f"{path}/{FETCHED}"), lambda: _folders(spark, path)):
         try:
-            part = rows().select("group", "asset", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"))
+            part = rows()
         except AnalysisException:
             continue
         found = part if found is None else found.union(part)
     return found and found.distinct()
 
 
+def _folders(spark, path: str) -> DataFrame:
+    """The layout's folders that hold files; files are listed and not opened."""
+    schema = f"path string, modificationTime timestamp, length long, content binary, {DONE}"
+    return spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "*.csv").load(path).select("group", "asset", "year", "month").where("month IS NOT NULL").distinct()
+
+
 def write_long(points: DataFrame, path: str) -> None:
     """timestamp_ms, key, value, datetime by time."""
     points.select("timestamp_ms", "key", "value", "datetime").sortWithinPartitions("timestamp_ms").write.mode("overwrite").csv(path, header=True)

@@ -2,20 +2,21 @@
 
 Spark matches CSV columns by position, so files are grouped by header and each
 group is read by itself, all columns as text; the groups are united by name.
-Headers are read by Spark tasks, line by line.  Files that give nothing are listed with the reason.
+Headers are read by Spark tasks, from the first bytes of each file (``headers``).  Files that give nothing are listed with
+the reason.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from urllib.parse import unquote
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..roles import ASSET_LABEL, LEVELS, SAMPLE_ASSET_NAMES, TIMESTAMP_NAMES, find_column, level_columns
+from .headers import first_lines
 
 FILE = "_file"
 CORRUPT = "_corrupt_record"
@@ -35,20 +36,18 @@ def decoded_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _first_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """path and first line of every file below ``folder``; lines are read, never whole files."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "place").alias("line"))
-    return first.select("path", F.regexp_extract("line", r"^\x{FEFF}?([^\r\n]*)", 1).alias("header"))
+def _names(header: str) -> tuple[str, ...]:
+    return tuple(c.strip().strip('"') for c in header.split(","))
 
 
 def headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header, below ``folder``; files without a line have none and are left out."""
+    """Files by header, below ``folder``; files without a line have none and are left out.
+
+    The driver holds the paths, as Spark's own listing of the files that it is to read does.
+    """
     out: dict[tuple[str, ...], list[str]] = {}
-    for r in _first_lines(spark, folder).where("header <> ''").orderBy("path").toLocalIterator():
-        names = tuple(c.strip().strip('"') for c in r["header"].split(","))
-        out.setdefault(names, []).append(r["path"])
+    for r in first_lines(spark, folder).where("header <> ''").orderBy("path").toLocalIterator():
+        out.setdefault(_names(r["header"]), []).append(r["path"])
     return out
 
 
@@ -56,7 +55,7 @@ def _group(spark: SparkSession, names: tuple[str, ...], paths: list[str], drop_c
     """The files of one header: cells as text in columns c0, c1, ... (a header may repeat a name), and the decoded path."""
     cells = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"`{n}` string" for n in [*cells, CORRUPT])
-    rows = spark.read.schema(schema).csv([unquote(p) for p in paths], header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    rows = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     rows = rows.select("*", decoded_path(F.col("_metadata.file_path")).alias(FILE))
     if drop_corrupt_files:
         bad = rows.groupBy(FILE).agg(F.count(CORRUPT).alias("bad")).where("bad > 0").select(FILE)
@@ -122,13 +121,15 @@ def read_series(spark: SparkSession, folder: str, levels: bool = True, drop_corr
 
 
 def _skipped(spark: SparkSession, folder: str, found: dict[tuple[str, ...], list[str]], files: DataFrame) -> DataFrame:
-    every = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).inputFiles()
-    plain = lambda path: re.sub("^file:/+", "file:/", path)
-    timed = {plain(p): find_column(list(n), TIMESTAMP_NAMES) is not None for n in found for p in found[n]}  # files without a header are in none
-    listed = spark.createDataFrame([(unquote(plain(p)), timed.get(plain(p))) for p in every], "file string, timed boolean")
-    rows = listed.join(files.select(F.regexp_replace("file", "^file:/+", "file:/").alias("file"), "n_rows", "n_invalid"), "file", "left")
+    """file, reason of every file that gave no rows; headers are few, files may be many."""
+    plain = lambda c: F.regexp_replace(c, "^(file:)?/+", "file:/")
+    listed = first_lines(spark, folder).select(plain("path").alias("file"), F.nullif("header", F.lit("")).alias("header"))
+    with_time = [names for names in found if find_column(list(names), TIMESTAMP_NAMES)]
+    names = F.transform(F.split("header", ","), lambda c: F.regexp_replace(F.trim(c), '^"+|"+$', ""))
+    timed = reduce(lambda a, b: a | b, (names == F.array(*map(F.lit, n)) for n in with_time), F.lit(False))
+    rows = listed.withColumn("timed", F.when(F.col("header").isNotNull(), timed)).join(files.select(plain("file").alias("file"), "n_rows", "n_invalid"), "file", "left")
     reason = (
-        F.when(F.col("timed").isNull(), "empty").when(~F.col("timed"), "no time column").when(F.col("n_rows") > F.col("n_invalid"), None)
+        F.when(F.col("header").isNull(), "empty").when(~F.col("timed"), "no time column").when(F.col("n_rows") > F.col("n_invalid"), None)
         .when(F.col("n_rows") > 0, "no readable time").otherwise("no rows, or corrupt ones")
     )
     return rows.select("file", reason.alias("reason")).where("reason IS NOT NULL")

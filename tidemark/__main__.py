@@ -1,4 +1,4 @@
-"""``python -m tidemark integrity|tanks|sample|export``: reports, samples and exports from the command line."""
+"""``python -m tidemark integrity|tanks|sample|export|catalog``: reports, samples, exports and catalogs from the command line."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bounds, scalars
-from .operators import calendar, payload, reports, sampling
+from .operators import calendar, catalog, payload, reports, sampling
 from .roles import GROUP_KEYS
 from .session import configured
 from .sources import csvs, rest, writers
@@ -53,16 +53,23 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--only", help="names or labels, comma-separated")
     p.add_argument("--resume", action="store_true")
     p.add_argument("--overwrite", action="store_true")
+    p = kinds.add_parser("catalog")
+    p.add_argument("--url", help="the service; default TIDEMARK_URL, needed with --asset-type")
+    p.add_argument("--asset-type", nargs="+", default=[], metavar="TYPE", help="list the service's assets of these types")
+    p.add_argument("--headers", help="a JSON file of more request headers")
+    p.add_argument("--messages", help="a folder of landed JSON messages, one a file")
+    p.add_argument("--output", required=True)
     return top.parse_args(argv)
 
 
 def report(spark: SparkSession, a: argparse.Namespace) -> dict:
     start, end = bounds.parse_bound(a.start_date), bounds.parse_bound(a.end_date, True, max(1, a.freq_minutes))
     scan = csvs.read_series(spark, a.input_dir, levels=a.kind == "tanks")
+    run = {"group": a.group, "input": a.input_dir, "output": a.output}
     if a.kind == "integrity":
-        tables = reports.integrity_report(scan.rows, a.freq_minutes, start, end, a.asset, scan.files)
+        tables = reports.integrity_report(scan.rows, a.freq_minutes, start, end, a.asset, scan.files, run)
     else:
-        tables = reports.tank_report(scan.rows, 20, start, end, a.asset, tiebreak=(csvs.FILE,))
+        tables = reports.tank_report(scan.rows, 20, start, end, a.asset, (csvs.FILE,), scan.files, run)
     tables["Skipped"] = scan.skipped
     tables["Files"] = scan.files if a.format == "parquet" else scan.files.withColumn("columns", F.array_join("columns", ","))
     writers.write_report(tables, a.output, a.format)
@@ -90,12 +97,40 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.write_manifest(sampling.manifest(rows, "timestamp", asset, given), f"{a.out_dir}/manifest")
 
 
+def _headers(a: argparse.Namespace, settings: bounds.Settings) -> dict[str, str]:
+    given = bounds.request_headers(settings.cookie, settings.authorization) + (bounds.headers_from(a.headers) if a.headers else [])
+    return dict(h.split(": ", 1) for h in given)
+
+
+def list_catalog(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Write the assets of the service's types and of landed messages, one row an id, and the types that messages name."""
+    rows = spark.createDataFrame([], "id string, name string, label string, type string, source int, at string")
+    if a.asset_type:
+        rest.register(spark)
+        settings = bounds.Settings.from_env(url=a.url)
+        headers = _headers(a, settings)
+        for kind in a.asset_type:
+            url = rest.assets_url(settings.url.rstrip("/"), headers, kind)
+            found = spark.read.format("telemetry_service").options(kind="assets", url=url, headers=json.dumps(headers)).load()
+            label, name, id_ = F.col("label"), F.col("name"), F.col("id")
+            rows = rows.unionByName(found.select("id", scalars.label_or_name_or_id(name, label, id_).alias("name"), scalars.label_or_name_or_id(label, name, id_).alias("label"), F.lit(kind).alias("type"), F.lit(2).alias("source"), F.lit("").alias("at")))
+    types = spark.createDataFrame([(t,) for t in a.asset_type], "type string")
+    if a.messages:
+        texts = spark.read.option("recursiveFileLookup", True).text(a.messages, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        walked = catalog.walk_entities(texts, "value").select("id", "name", F.col("name").alias("label"), F.lit(None).cast("string").alias("type"), F.lit(0).alias("source"), F.col("file").alias("at"))
+        listed = catalog.extract_assets(texts, "value").select("id", "name", "label", F.lit(None).cast("string").alias("type"), F.lit(1).alias("source"), F.format_string("%s %09d", "file", "at").alias("at"))
+        rows = rows.unionByName(walked).unionByName(listed)
+        types = types.unionByName(catalog.asset_types(texts, "value")).unionByName(catalog.walk_types(texts, "value").select("type"))
+    # of what messages say of an id the listing counts, the service before both
+    writers.write_catalog(catalog.catalog(catalog.last_of_each(rows, "id", ["source", "at", "name", "label"])), f"{a.output}/assets")
+    writers.write_catalog(types.distinct().orderBy("type"), f"{a.output}/types")
+
+
 def export(spark: SparkSession, a: argparse.Namespace) -> int:
     """Fetch what is asked for and not there yet, group by group; gives the number of asset-months fetched."""
     rest.register(spark)
     settings = bounds.Settings.from_env(url=a.url, zone=a.timezone)
-    given = bounds.request_headers(settings.cookie, settings.authorization) + (bounds.headers_from(a.headers) if a.headers else [])
-    headers = dict(h.split(": ", 1) for h in given)
+    headers = _headers(a, settings)
     kinds = dict(t.split("=", 1) for t in a.asset_type)
     months = calendar.month_ranges(spark, a.start_ym, a.end_ym, settings.zone).drop("start", "end")
     return sum(_export_group(spark, a, settings.url.rstrip("/"), headers, group, kinds.get(group, group), months) for group in a.groups)
@@ -127,7 +162,7 @@ def _export_group(spark: SparkSession, a: argparse.Namespace, base: str, headers
 def main(argv: list[str] | None = None) -> None:
     a = arguments(argv)
     spark = configured(SparkSession.builder.appName("tidemark")).getOrCreate()
-    {"integrity": report, "tanks": report, "sample": sample, "export": export}[a.kind](spark, a)
+    {"integrity": report, "tanks": report, "sample": sample, "export": export, "catalog": list_catalog}[a.kind](spark, a)
 
 
 if __name__ == "__main__":

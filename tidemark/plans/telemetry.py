@@ -158,6 +158,24 @@ def export_worklist(spark: SparkSession, d: str) -> DataFrame:
     return calendar.work_list(assets, calendar.month_ranges(spark, "2024-11", "2025-02", ZONE).select("year", "month"))
 
 
+def month_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Observations of each asset in the export's months, by the clock of ZONE."""
+    local = F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), ZONE)
+    rows = shifted(spark, d).select("asset_id", "timestamp", F.year(local).alias("year"), F.month(local).alias("month"))
+    first, last = rows.agg(*(F.date_format(f(F.make_date("year", "month", F.lit(1))), "yyyy-MM") for f in (F.min, F.max))).first()
+    months = calendar.month_ranges(spark, first, last, ZONE)
+    inside = rows.join(F.broadcast(months), ["year", "month"]).where(F.unix_millis(F.col("timestamp").cast("timestamp")).between(F.col("start_ms"), F.col("end_ms")))
+    return inside.groupBy("asset_id", *months.columns).agg(F.count("*").alias("obs"))
+
+
+def month_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Observations of each asset in the months from the first day on to midnight of the last day."""
+    rows = shifted(spark, d).select("asset_id", "timestamp", F.date_trunc("month", "timestamp").cast("timestamp_ntz").alias("start"))
+    first, last = rows.agg(*(F.date_format(f("timestamp"), "yyyy-MM-dd") for f in (F.min, F.max))).first()
+    inside = rows.join(F.broadcast(calendar.month_spans(spark, first, last)), "start").where("timestamp <= end")
+    return inside.groupBy("asset_id", "start", "end").agg(F.count("*").alias("obs"))
+
+
 def secrets(spark: SparkSession, d: str) -> DataFrame:
     c = spark.read.parquet(f"{d}/customer.parquet")
     text = F.when(F.col("c_custkey") % 4 == 0, F.substring("c_name", 1, 8)).when(F.col("c_custkey") % 9 == 0, None).otherwise(F.col("c_name"))
@@ -191,8 +209,8 @@ QUERIES = {
     "sanitize_label": lambda s, d: _customers(s, d).select("n", scalars.sanitize(F.col("label")).alias("label")),
     "redact": secrets,
     "name_filter": lambda s, d: _customers(s, d).where(scalars.named(F.col("name"), F.col("label"), ["Customer#000000001", "Tank: Customer#000000002  / A"])).select("n"),
-    "month_ranges": lambda s, d: calendar.month_ranges(s, "2024-11", "2025-03", ZONE),
-    "month_ranges_ms": lambda s, d: calendar.month_spans(s, "2024-11-15", "2025-02-10"),
+    "month_ranges": month_ranges,
+    "month_ranges_ms": month_spans,
     "export_worklist": export_worklist,
     "resume_worklist": resume_worklist,
     "payload_pivot": payload_pivot,
@@ -311,12 +329,14 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND regexp_ma
     "redact": """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN left(c_name, 8) WHEN c_custkey % 9 = 0 THEN NULL ELSE c_name END AS x FROM customer)
 SELECT c_custkey, CASE WHEN x IS NULL THEN NULL WHEN length(x) <= 8 THEN '***' ELSE left(x, 4) || '...' || right(x, 4) END AS redacted FROM t""",
     "name_filter": rf"""WITH {CUSTOMERS} SELECT n FROM customers WHERE trim(name) IN ('Customer#000000001', 'Tank: Customer#000000002  / A') OR trim(label) IN ('Customer#000000001', 'Tank: Customer#000000002  / A')""",
-    "month_ranges": """SELECT year, month, start, "end", start_ms, end_ms FROM (VALUES
-  (2024, 11, TIMESTAMP '2024-11-01', TIMESTAMP '2024-11-30 23:59:59', 1730430000000, 1733021999000), (2024, 12, TIMESTAMP '2024-12-01', TIMESTAMP '2024-12-31 23:59:59', 1733022000000, 1735700399000),
-  (2025, 1, TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-31 23:59:59', 1735700400000, 1738378799000), (2025, 2, TIMESTAMP '2025-02-01', TIMESTAMP '2025-02-28 23:59:59', 1738378800000, 1740797999000),
-  (2025, 3, TIMESTAMP '2025-03-01', TIMESTAMP '2025-03-31 23:59:59', 1740798000000, 1743476399000)) AS t(year, month, start, "end", start_ms, end_ms)""",
-    "month_ranges_ms": """SELECT m AS start, least(m + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND, TIMESTAMP '2025-02-10') AS "end"
-FROM (SELECT unnest(generate_series(TIMESTAMP '2024-11-01', TIMESTAMP '2025-02-01', INTERVAL 1 MONTH)) AS m)""",
+    # the zone is three hours behind UTC in all months that the table has
+    "month_ranges": f"""WITH {_SERIES}, local AS (SELECT asset_id, date_trunc('month', timestamp - INTERVAL 3 HOUR)::TIMESTAMP AS start, timestamp FROM shifted),
+months AS (SELECT DISTINCT start, start + INTERVAL 1 MONTH - INTERVAL 1 SECOND AS "end" FROM local)
+SELECT asset_id, year(start) AS year, month(start) AS month, start, "end", epoch_ms(start + INTERVAL 3 HOUR) AS start_ms, epoch_ms("end" + INTERVAL 3 HOUR) AS end_ms, count(*) AS obs
+FROM local JOIN months USING (start) WHERE timestamp <= "end" + INTERVAL 3 HOUR GROUP BY ALL""",
+    "month_ranges_ms": f"""WITH {_SERIES}, bounds AS (SELECT date_trunc('day', max(timestamp))::TIMESTAMP AS last FROM shifted),
+spans AS (SELECT DISTINCT date_trunc('month', timestamp)::TIMESTAMP AS start, least(date_trunc('month', timestamp) + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND, last) AS "end" FROM shifted, bounds)
+SELECT asset_id, start, "end", count(*) AS obs FROM shifted JOIN spans ON date_trunc('month', timestamp) = start WHERE timestamp <= "end" GROUP BY ALL""",
     "export_worklist": f"WITH {_WORK} SELECT * FROM work",
     "resume_worklist": f"WITH {_WORK} SELECT * FROM work WHERE (c_custkey + month) % 3 <> 0",
     "payload_pivot": """WITH p AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, epoch_us(date_trunc('minute', ts)) // 1000 AS ts, event_id, value::VARCHAR AS value FROM events)

@@ -1,8 +1,9 @@
 """Quality classifier as a sparse rule ensemble (operator 6).
 
 1. Statistics of the whole text (``statistics``) are Spark expressions.
-2. A bounded sample of labelled rows (``sample_rows``, chosen by a hash of
-   doc_id, never by order) goes to the driver as numbers, not texts.
+2. A bounded sample of labelled rows (``sample_rows`` ids, chosen by a hash of
+   doc_id, never by order, and one row of each) goes to the driver as numbers,
+   not texts.
 3. Small boosted trees are grown on it in numpy; every path from a root to a
    node is a rule, a conjunction of bounds on statistics.
 4. A logistic regression with an L1 penalty weighs the rules; most weights
@@ -75,12 +76,17 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``sample_rows`` rows that are not held out."""
+    """Statistics and labels of at most ``sample_rows`` rows that are not held out, one for each doc_id.
+
+    Of rows that repeat a doc_id the one whose text has the smallest hash counts; it is found where rows are read.
+    """
     usable = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     few = usable.groupBy("doc_id").agg(F.max(target).cast("double").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_rows)
     few = F.broadcast(few.withColumnRenamed("doc_id", "label_id"))  # sample_rows bounds it
     rows = with_statistics(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y"))
-    got = rows.select("doc.doc_id", "doc.y", *(F.col(f"stats.{k}").alias(f"x_{k}") for k in NAMES)).toPandas().sort_values(["doc_id"], kind="stable")
+    one = F.min(F.struct(F.xxhash64("doc.text").alias("hash"), *(F.col(f"stats.{k}").alias(k) for k in NAMES)))
+    rows = rows.groupBy("doc.doc_id").agg(F.max("doc.y").alias("y"), one.alias("one"))
+    got = rows.select("doc_id", "y", *(F.col(f"one.{k}").alias(f"x_{k}") for k in NAMES)).toPandas().sort_values(["doc_id"], kind="stable")
     return got[[f"x_{k}" for k in NAMES]].to_numpy(float).reshape(-1, len(NAMES)), got["y"].to_numpy(float)
 
 

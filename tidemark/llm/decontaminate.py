@@ -9,13 +9,16 @@ one place.  Bounds on length and position leave the places where it fits, and
 there the words are compared exactly.
 
 1. Distinct items are read in groups of about ``MAX_GROUP_BYTES`` of text.  A
-   group's windows are what is broadcast, as arrays, so its size is bounded; more
-   groups mean more passes of the same map over the documents, not a larger
-   broadcast.
+   group's windows are what is broadcast, as arrays, one group at a time, so the
+   size of what is held is bounded.
 2. Every document is read once for the frequencies of the group's shingles,
    combined per task and summed by Spark.
 3. Documents are joined with the prefixes and verified in one map, without a
    shuffle, so hot passages and keys are spread as the input is.
+4. With more than one group each is a job of its own that writes what it finds in
+   the texts that it hits; then the findings of a text are merged and joined to
+   the documents by the text's digest.  More items mean more jobs, not a larger
+   broadcast or a longer plan.
 
 Words outside the benchmark are one code: they break every window.
 
@@ -27,6 +30,7 @@ items without words match nothing; an empty benchmark leaves all clean.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,12 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, table, whole_row
+from .common import in_batches, shared_dir, table, whole_row
 
 WINDOW, SHINGLE, SHARE = 13, 5, 20
 MAX_GROUP_BYTES = 2 << 20
 #: Bytes of words kept: digits, letters and everything beyond ASCII; A-Z is lower-cased, the rest becomes a blank.
 KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+#: The same words as a pattern.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 JUDGED = "n_words long, n_hit long, spans array<long>, items array<string>"
 
 
@@ -168,59 +174,108 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
 
     ``spans`` holds start and end of each maximal run of hit words, one after the other.
     """
-    spark = in_batches(docs).sparkSession
-    fields = [*docs.columns]
-    rows = docs.select(whole_row(docs).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
-                       F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    keep = keep or [*docs.columns]
     n_groups, groups = _groups(benchmark)
-    for i, items in enumerate(groups):
-        listed = Windows(items, window, shingle)
-        held = spark.sparkContext.broadcast(listed)
-
-        def count(batches, held=held):
-            listed = held.value
-            total = np.zeros(len(listed.keys), np.int64)
-            for batch in batches:
-                for text in batch.column(0):
-                    _, k = listed.found(listed.code(words_of(text.as_py())))
-                    total += np.bincount(k, minlength=len(total))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
-
-        counts = np.zeros(len(listed.keys), np.int64)
-        for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[r["k"]] = r["n"]
-        listed.take_prefixes(counts)
-        held.unpersist()
-        out = fields if i + 1 < n_groups else keep or fields
-        schema = T.StructType([T.StructField("doc", T.StructType([docs.schema[c] for c in out]))] + T._parse_datatype_string(JUDGED).fields)
-        rows = rows.mapInArrow(_judge(spark.sparkContext.broadcast(listed), out), schema)
-    return rows
+    if n_groups > 1:
+        return _judged_by_groups(in_batches(docs), groups, keep, window, shingle)
+    held = _prepared(in_batches(docs), next(groups), window, shingle)
+    schema = T.StructType([T.StructField("doc", T.StructType([docs.schema[c] for c in keep]))] + T._parse_datatype_string(JUDGED).fields)
+    return docs.select(whole_row(docs).alias("doc")).mapInArrow(_judge(held, keep), schema)
+
+
+def _prepared(docs: DataFrame, items: pa.Table, window: int, shingle: int):
+    """The windows of a group as a broadcast, with the prefixes that the documents' shingles make rarest."""
+    context = docs.sparkSession.sparkContext
+    listed = Windows(items, window, shingle)
+    held = context.broadcast(listed)
+
+    def count(batches):
+        listed = held.value
+        total = np.zeros(len(listed.keys), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                _, k = listed.found(listed.code(words_of(text.as_py())))
+                total += np.bincount(k, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+
+    counts = np.zeros(len(listed.keys), np.int64)
+    for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["k"]] = r["n"]
+    listed.take_prefixes(counts)
+    held.unpersist()
+    return context.broadcast(listed)
+
+
+def _told(listed: Windows, text: str | None) -> tuple[int, int, list[int], list[str]]:
+    """n_words, n_hit, spans, items of a text."""
+    ids = listed.code(words_of(text))
+    start, w = listed.occurrences(ids)
+    return len(ids), *_covered(start, start + listed.length[w]), listed.items_of(w)
+
+
+def _covered(start: np.ndarray, end: np.ndarray) -> tuple[int, list[int]]:
+    """Words in any of the spans, and the maximal runs of them."""
+    place, which = np.unique(np.concatenate([start, end]), return_inverse=True)
+    edge = np.bincount(which[: len(start)], minlength=len(place)) - np.bincount(which[len(start) :], minlength=len(place))
+    turns = place[np.flatnonzero(np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0))]
+    return int((turns[1::2] - turns[::2]).sum()), turns.tolist()
+
+
+TOLD = ["doc", "n_words", "n_hit", "spans", "items"]
 
 
 def _judge(held, out: list[str]):
-    def one(listed: Windows, text: str | None, spans: list[int], items: list[str]) -> tuple[int, int, list[int], list[str]]:
-        ids = listed.code(words_of(text))
-        start, w = listed.occurrences(ids)
-        edge = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + listed.length[w], -1)
-        np.add.at(edge, np.array(spans[::2], np.int64), 1)
-        np.add.at(edge, np.array(spans[1::2], np.int64), -1)
-        hit = np.cumsum(edge) > 0
-        turns = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
-        return len(ids), int(hit.sum()), turns.tolist(), sorted({*items, *listed.items_of(w)})
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
 
     def run(batches):
         listed = held.value
         for batch in batches:
             doc = batch.column(0)
-            texts = doc.field("text")
-            told = [one(listed, t.as_py(), s, i) for t, s, i in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            told = [_told(listed, t.as_py()) for t in doc.field("text")]
             cols = list(zip(*told, strict=True)) if told else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
             kept = pa.StructArray.from_arrays([doc.field(c) for c in out], names=out)
-            yield pa.RecordBatch.from_arrays([kept, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc", "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([kept, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], TOLD)
+
+    return run
+
+
+HITS = "digest string, spans array<long>, items array<string>"
+
+
+def _judged_by_groups(docs: DataFrame, groups: Iterator[pa.Table], keep: list[str], window: int, shingle: int) -> DataFrame:
+    spark = docs.sparkSession
+    texts = docs.where("text IS NOT NULL").select(F.md5("text").alias("digest"), "text")
+    path = f"{shared_dir(spark)}/tidemark-hits-{uuid.uuid4().hex}"
+    for items in groups:
+        held = _prepared(docs, items, window, shingle)
+        texts.mapInArrow(_hits(held), HITS).distinct().write.mode("append").parquet(path)
+        held.destroy()
+
+    def merged(batches):
+        for batch in batches:
+            spans = [np.array([x for group in own for x in group], np.int64) for own in batch.column(1).to_pylist()]
+            cols = [_covered(s[::2], s[1::2]) for s in spans]
+            items = [sorted({i for group in own for i in group}) for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in cols], pa.int64()), pa.array([s for _, s in cols], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["digest", *TOLD[2:]])
+
+    # a text has a finding of each group at most
+    found = spark.read.schema(HITS).parquet(path).groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    found = found.mapInArrow(merged, "digest string, n_hit long, spans array<long>, items array<string>").withColumnRenamed("digest", "of_digest")
+    rows = docs.select(whole_row(docs.select(*(f"`{c.replace('`', '``')}`" for c in keep))).alias("doc"), F.md5("text").alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    none = F.array().cast("array<long>"), F.array().cast("array<string>")
+    rows = rows.join(found, F.col("digest") == F.col("of_digest"), "left")
+    return rows.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+
+
+def _hits(held):
+    def run(batches):
+        listed = held.value
+        for batch in batches:
+            told = [(d, *_told(listed, t.as_py())) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            told = [(d, spans, items) for d, _, n_hit, spans, items in told if n_hit]
+            digests, spans, items = zip(*told, strict=True) if told else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["digest", "spans", "items"])
 
     return run
 

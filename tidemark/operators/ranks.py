@@ -45,7 +45,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float])
         group = Window.partitionBy(*held)
         counts = counts.withColumn("_until", F.sum("_n").over(group.orderBy(column)))
         if wanted is None:
-            counts = counts.withColumn("_total", F.sum("_n").over(group)).withColumn("_wanted", F.expr(_ranks(points)))
+            # few counts hold a rank: the others go before ranks are listed for each
+            counts = counts.withColumn("_total", F.sum("_n").over(group)).where(_holds_any(points)).withColumn("_wanted", F.expr(_ranks(points)))
         # the ranks that lie in a count, and where in it
         inside = F.expr("transform(filter(_wanted, w -> w.rank >= _until - _n AND w.rank < _until), w -> named_struct('point', w.point, 'share', w.share, 'rank', w.rank - _until + _n)) AS _wanted")
         rows = rows.select(*held, column, "_x", "_code")
@@ -55,6 +56,12 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float])
     return parts.groupBy(*keys, F.col("w.point").alias("point")).agg(F.expr("sum(_value * w.share) AS value"))
 
 
+def _holds_any(points: list[float]) -> str:
+    """Whether a count holds one of the ranks next to any point."""
+    at = [f"({float(p)!r}D * (_total - 1))" for p in points]
+    return " OR ".join(f"(floor({a}) < _until AND floor({a}) + 1 >= _until - _n)" for a in at) or "false"
+
+
 def _ranks(points: list[float]) -> str:
     """The two ranks around each point and their shares; the share of the second is 0 where the first is met."""
     at = [f"({float(p)!r}D * (_total - 1))" for p in points]

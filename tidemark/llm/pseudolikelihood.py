@@ -12,9 +12,10 @@ neighbours.  Tokens are what white space separates, A-Z lower-cased.
 2. The network starts at the frequencies of its ids.  Documents are dealt by hash
    to lots of about ``LOT_TOKENS`` tokens; in every round each lot is trained in
    numpy from the same weights, and Spark averages the lots' weights by their
-   tokens, in a tree.  The first round takes a share of the documents, the last
-   one all.  Lots and their order follow from the documents alone, so the number
-   of files or executors does not change a score.
+   tokens, in a tree.  Each round takes documents that no round before it took,
+   few in the first, and in the last the half that is left.  Lots and their order
+   follow from the documents alone, so the number of files or executors does not
+   change a score.
 3. Every document is scored in one map.  The shares of the ``HELD`` most frequent
    words are broadcast; the rarer ones of each document are joined with the
    table, where by their rarity no key is hot.
@@ -46,13 +47,15 @@ from pyspark.sql import functions as F
 
 from .common import gathered, in_batches, saved, table
 
-TOP, BUCKETS, CLASSES = 1792, 256, 32
+TOP, BUCKETS, CLASSES = 7680, 512, 64
 IDS = TOP + BUCKETS
 SIZE = IDS // CLASSES
 SIDE, EMBED, HIDDEN = 2, 8, 24
-STEP, RATE, SEED = 16_384, 0.1, 5
-#: Share of the documents in each round: one of so many.
-ROUNDS = (16, 1)
+STEP, RATE, SEED = 16_384, 0.2, 5
+#: Tokens whose choices are computed at once, so that they stay in the processor's cache.
+CACHED = 2048
+#: Share of the documents in each round, one of so many: each round takes those that follow by a hash, all of them together.
+ROUNDS = (16, 16, 8, 4, 2)
 SHAPES = {"embed": (IDS + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, SIZE), "bw": (CLASSES, SIZE)}
 #: Bytes of text whose words a task counts at once; words whose counts are broadcast, at most; tokens of a lot.
 COUNTED, HELD, LOT_TOKENS = 24 << 20, 400_000, 1_000_000
@@ -86,13 +89,14 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, buckets: np.ndarray):
         """``words`` by falling frequency; ``buckets``: occurrences of all words by bucket."""
-        self.words = pa.array(words, pa.binary())
+        self.words, self.top = pa.array(words, pa.binary()), TOP
+        own = len(words[:TOP])
         bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
         rest = (buckets - np.bincount(bucket[:TOP], counts[:TOP], BUCKETS)).astype(float)
-        top = np.append(counts[:TOP], np.zeros(max(0, TOP - len(words))))
-        self.frequency = np.append(top, rest)
-        self.ids = np.concatenate([np.arange(min(TOP, len(words))), TOP + bucket[TOP:], [-1]]).astype(np.int32)
-        self.shares = np.concatenate([np.zeros(min(TOP, len(words))), np.log(counts[TOP:] / rest[bucket[TOP:]]), [0.0]])
+        self.frequency = np.zeros(IDS)
+        self.frequency[:own], self.frequency[TOP : TOP + BUCKETS] = counts[:TOP], rest
+        self.ids = np.concatenate([np.arange(own), TOP + bucket[TOP:], [-1]]).astype(np.int32)
+        self.shares = np.concatenate([np.zeros(own), np.log(counts[TOP:] / rest[bucket[TOP:]]), [0.0]])
         self.rest = rest
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
@@ -100,7 +104,7 @@ class Vocabulary:
         names, place, ends = words_of(texts)
         held = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy()  # the last id and share stand for none
         ids, rare = self.ids[held].copy(), held < 0
-        ids[rare] = [TOP + zlib.crc32(w) % BUCKETS for w in names.filter(pa.array(rare)).to_pylist()]
+        ids[rare] = [self.top + zlib.crc32(w) % BUCKETS for w in names.filter(pa.array(rare)).to_pylist()]
         sums = np.append(0.0, np.cumsum(self.shares[held][place]))[ends]
         others = rare[place]
         words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(others))[ends].astype(np.int32)), names.take(pa.array(place[others])))
@@ -135,21 +139,34 @@ def windows(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([p[at + i] for i in range(-SIDE, SIDE + 1) if i], axis=1)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place.  The largest of all rows is taken off, which is cheap; rows far below it are cut off at 1e-37."""
-    x -= x.max()
-    np.exp(x, out=x)
-    x += np.float32(1e-37)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
-
-
-def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at one place."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
+def _log_of(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of what each token chooses; columns are tokens, so that numpy works along them."""
+    found = np.empty(len(chosen))
+    for i in range(0, len(chosen), CACHED):
+        own = chosen[i : i + CACHED]
+        x = weights.T @ h[:, i : i + CACHED]
+        x += bias[:, None]
+        x -= x.max(axis=0)
+        at = x[own, np.arange(len(own))]
+        found[i : i + CACHED] = at - np.log(np.exp(x, out=x).sum(axis=0))
+    return found
+
+
+def _gradients_of(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, chosen: np.ndarray, share: float) -> Weights:
+    """Gradients of the weights, the bias and the hidden values for the negative log-probability of each choice, times ``share``."""
+    g = {"w": np.zeros_like(weights), "b": np.zeros_like(bias), "h": np.empty_like(h)}
+    for i in range(0, len(chosen), CACHED):
+        own, part = chosen[i : i + CACHED], h[:, i : i + CACHED]
+        x = weights.T @ part
+        x += bias[:, None]
+        x -= x.max(axis=0)
+        np.exp(x, out=x)
+        x *= share / x.sum(axis=0)
+        x[own, np.arange(len(own))] -= share
+        g["w"] += part @ x.T
+        g["b"] += x.sum(axis=1)
+        g["h"][:, i : i + CACHED] = weights @ x
+    return g
 
 
 def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -163,10 +180,10 @@ def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
 def log_probs(w: Weights, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     order, classes = _by_class(tokens)
     t = tokens[order]
-    h = np.tanh(w["embed"][around[order]].reshape(len(t), -1) @ w["w1"] + w["b1"])
-    found = _log_of(h @ w["wc"] + w["bc"], t // SIZE).astype(float)
+    h = np.tanh(w["w1"].T @ w["embed"][around[order]].reshape(len(t), -1).T + w["b1"][:, None])
+    found = _log_of(w["wc"], w["bc"], h, t // SIZE)
     for c, part in classes:
-        found[part] += _log_of(h[part] @ w["ww"][c] + w["bw"][c], t[part] % SIZE)
+        found[part] += _log_of(w["ww"][c], w["bw"][c], h[:, part], t[part] % SIZE)
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -175,24 +192,19 @@ def log_probs(w: Weights, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
 def gradients(w: Weights, tokens: np.ndarray, around: np.ndarray) -> Weights:
     """Of the mean negative log-probability."""
     order, classes = _by_class(tokens)
-    t, at, n = tokens[order], around[order], np.arange(len(tokens))
-    share = np.float32(1 / len(t))
+    t, at, share = tokens[order], around[order], w["b1"].dtype.type(1 / len(tokens))
     x = w["embed"][at].reshape(len(t), -1)
-    h = np.tanh(x @ w["w1"] + w["b1"])
-    d = _softmax(h @ w["wc"] + w["bc"])
-    d[n, t // SIZE] -= 1
-    d *= share
-    g = {"wc": h.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-    dh = d @ w["wc"].T
+    h = np.tanh(w["w1"].T @ x.T + w["b1"][:, None])
+    of = _gradients_of(w["wc"], w["bc"], h, t // SIZE, share)
+    g = {"wc": of["w"], "bc": of["b"], "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+    dh = of["h"]
     for c, part in classes:
-        d = _softmax(h[part] @ w["ww"][c] + w["bw"][c])
-        d[n[: len(d)], t[part] % SIZE] -= 1
-        d *= share
-        g["ww"][c], g["bw"][c] = h[part].T @ d, d.sum(axis=0)
-        dh[part] += d @ w["ww"][c].T
+        of = _gradients_of(w["ww"][c], w["bw"][c], h[:, part], t[part] % SIZE, share)
+        g["ww"][c], g["bw"][c] = of["w"], of["b"]
+        dh[:, part] += of["h"]
     dh *= 1 - h * h
-    g["w1"], g["b1"] = x.T @ dh, dh.sum(axis=0)
-    dx = (dh @ w["w1"].T).reshape(-1, EMBED)
+    g["w1"], g["b1"] = (dh @ x).T, dh.sum(axis=1)
+    dx = (dh.T @ w["w1"].T).reshape(-1, EMBED)
     flat_at = at.ravel()
     by = np.argsort(flat_at.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(flat_at[by], prepend=-1))
@@ -304,11 +316,13 @@ def one_round(docs: DataFrame, words, weights: Weights, lots: int) -> Weights:
 
 
 def trained(docs: DataFrame, words, rounds: tuple[int, ...] = ROUNDS) -> Weights:
-    """Weights after rounds over one of so many documents each, chosen by hash."""
+    """Weights after rounds over one of so many documents each: in the order of a hash, from the start again after the last."""
     weights = first_weights(words.value.frequency)
     tokens = float(words.value.frequency.sum())
+    slots, begin = math.lcm(*rounds), 0
     for share in rounds:
-        some = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(share)) == 0)
+        some = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text") - begin, F.lit(slots)) < slots // share)
+        begin += slots // share
         weights = one_round(some, words, weights, max(1, round(tokens / share / LOT_TOKENS)))
     return weights
 

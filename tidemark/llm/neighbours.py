@@ -7,9 +7,12 @@
 2. Rows with equal vectors are one class with its k + 1 smallest ids, which is
    all that any result can use; so copies cost nothing and none is lost.
 3. Queries and classes meet in blocks of bounded size.  A block splits its codes
-   into ``TABLES`` substrings and indexes each.  A code within radius r of the
-   query has a substring within r // TABLES, so probing those buckets retrieves
-   every code within r; full distances are verified and floats reranked.
+   into ``TABLES`` substrings and indexes each: a bucket is a bitmap of the rows
+   with that substring.  A code within radius r of the query has a substring
+   within r // TABLES, so the buckets that near hold every code within r.  Their
+   union is kept under each key, once for a block and number of flips, so a
+   query looks up one entry of each table; full distances are then verified and
+   floats reranked.
 4. The radius is set on the sample so that 97 of 100 true neighbours lie in it;
    where a block yields fewer than k codes the radius grows until it does.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 K, EVERY = 20, 20
-BITS, TABLES, SAMPLE_ROWS, REACH, SEED = 128, 8, 4096, 0.97, 11
+BITS, TABLES, SAMPLE_ROWS, REACH, SEED = 128, 16, 4096, 0.97, 11
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 16_384
 
 
@@ -73,37 +76,50 @@ class Codes:
         return np.hstack([x, more[:, None]])
 
     def code(self, lifted: np.ndarray) -> np.ndarray:
-        """n x TABLES substrings of 16 bits."""
+        """n x TABLES substrings of eight bits."""
         bits = np.zeros((len(lifted), BITS), bool)
         bits[:, : self.turn.shape[1]] = (lifted - self.mean) @ self.turn > 0
-        return np.packbits(bits, axis=1).view("<u2")
+        return np.packbits(bits, axis=1)
 
 
 class Block:
-    """The substring tables of one block of vectors."""
+    """The substring tables of one block of codes, whose bytes are the substrings.
+
+    A table holds a bit of each row under each of 256 keys: 4 MB a number of flips for 16 tables and 8,192 rows.
+    """
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = []
-        for j in range(TABLES):
-            order = np.argsort(codes[:, j], kind="stable")
-            keys, first = np.unique(codes[order, j], return_index=True)
-            self.tables.append((order, keys, np.append(first, len(order))))
+        self.codes = np.ascontiguousarray(codes).view(np.uint8)
+        self.whole = np.ascontiguousarray(self.codes.view(np.uint64).T)
+        n, tables = self.codes.shape
+        exact, rows = np.zeros((tables, 256, -(-n // 64) * 8), np.uint8), np.arange(n)
+        for j in range(tables):
+            held = np.zeros((256, n), bool)
+            held[self.codes[:, j], rows] = True
+            exact[j, :, : -(-n // 8)] = np.packbits(held, axis=1)
+        self.flipped = [exact.view(np.uint64)]
+
+    def table(self, flips: int) -> np.ndarray:
+        """table x key: the rows whose substring differs from the key in at most ``flips`` bits."""
+        while len(self.flipped) <= flips:
+            last = self.flipped[-1]
+            more = last.copy()
+            for bit in range(8):
+                more |= last[:, np.arange(256) ^ (1 << bit)]
+            self.flipped.append(more)
+        return self.flipped[flips]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code differs from ``code`` in at most ``radius`` bits."""
-        seen = np.zeros(len(self.codes), bool)
-        each, more = divmod(radius, TABLES)
-        for j, (order, keys, first) in enumerate(self.tables):
-            reach = each if j <= more else each - 1  # if all substrings differed by more, the sum would exceed the radius
-            hit = np.flatnonzero(np.bitwise_count(keys ^ code[j]) <= reach) if reach >= 0 else ()
-            for i in hit if len(hit) < 32 else ():
-                seen[order[first[i] : first[i + 1]]] = True
-            if len(hit) >= 32:
-                n = first[hit + 1] - first[hit]
-                seen[order[np.repeat(first[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
-        rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+        key = code.view(np.uint8)
+        each, more = divmod(radius, len(key))
+        far, near = np.arange(more + 1), np.arange(more + 1, len(key))  # if all substrings differed by more, the sum would exceed the radius
+        seen = np.bitwise_or.reduce(self.table(min(each, 8))[far, key[far]], axis=0)
+        if each and len(near):
+            seen |= np.bitwise_or.reduce(self.table(min(each - 1, 8))[near, key[near]], axis=0)
+        rows = np.flatnonzero(np.unpackbits(seen.view(np.uint8), count=len(self.codes)))
+        far = sum(np.bitwise_count(word[rows] ^ own).astype(np.int16) for word, own in zip(self.whole, code.view(np.uint64), strict=True))
+        return rows[far <= radius]
 
     def nearest(self, code: np.ndarray, radius: int, k: int) -> np.ndarray:
         while len(rows := self.within(code, radius)) < min(k, len(self.codes)):
@@ -152,6 +168,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
             for asks, v, code in zip(right["asks"].to_pylist(), q, codes.code(codes.lifted(q, query=True)), strict=True):
                 at = block.nearest(code, codes.radius, k + 1)
                 score = (x[at] * v).sum(axis=1)
+                if len(at) > k + 1:  # the k + 1 largest and their ties
+                    top = score >= np.partition(score, -k - 1)[-k - 1]
+                    at, score = at[top], score[top]
                 best = np.lexsort((cid[at], -score))[: k + 1]
                 out["asks"] += [asks] * len(best)
                 out["cid"] += cid[at][best].tolist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality
+from tidemark.llm import decontaminate, mixing, quality, tokenstore
 
 
 def totals(rows):
@@ -67,3 +67,21 @@ def test_more_groups_are_no_longer_plan(spark, monkeypatch):
     many, every = told(200)
     assert want == some == every and sum(n > 0 for _, _, n, _, _ in want) == 6 and want[2][2:4] == (60, [0, 60])
     assert python_nodes(few) == python_nodes(many) <= 2 and python_nodes(whole) == 1
+
+
+def test_equal_rows_are_spread_over_parts(spark, tmp_path):
+    """Two thirds of the rows have no id and one text: no part has most of them, and ids and order are as ever."""
+    rows = [(None, "the same words")] * 4000 + [(i, f"text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenstore.write_tokens(docs, str(tmp_path / "tokens"), tokenstore.default_tokenizer())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = tokenstore.read_tokens(spark, str(tmp_path / "tokens"))
+    held = {r["part"]: r["count"] for r in got.groupBy("part").count().collect()}
+    assert sum(held.values()) == 6000 and max(held.values()) < 2500, held
+    listed = got.orderBy("start").collect()
+    assert [r["doc_id"] for r in listed] == [None] * 4000 + [*range(2000)]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(listed, listed[1:]))
+    assert len({r["ids_crc32"] for r in listed[:4000]}) == 1

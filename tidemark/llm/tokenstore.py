@@ -22,7 +22,8 @@ blank or a special token's string are encoded whole.
 
 Defined cases: null text is empty and yields the end id alone; doc_ids sort
 ascending, null first; rows of one doc_id follow in the order of their text's
-hash; an empty table gives an empty dataset.
+hash, and equal rows may lie in several parts; an empty table gives an empty
+dataset.
 """
 
 from __future__ import annotations
@@ -321,9 +322,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if names:
             yield pa.RecordBatch.from_pylist([_shard(part, number, names, ids, enc.size, rounds)], ARROW)
 
-    order = ("doc_id", F.xxhash64("text"))
-    rows = in_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the place in the input tells equal rows apart, so that many of them are spread over several parts
+    rows = in_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "digest", "place").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     rows.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality, tokenstore
+from tidemark.llm import decontaminate, mixing, pseudolikelihood, quality, tokenstore
 
 
 def totals(rows):
@@ -85,3 +85,15 @@ def test_equal_rows_are_spread_over_parts(spark, tmp_path):
     assert [r["doc_id"] for r in listed] == [None] * 4000 + [*range(2000)]
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(listed, listed[1:]))
     assert len({r["ids_crc32"] for r in listed[:4000]}) == 1
+
+
+def test_equal_rows_are_dealt_to_all_lots(spark):
+    rows = [(None, "the same words")] * 3000 + [(i, f"text {i}") for i in range(1000)] + [(5, "text 5"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lots = {}
+    for n in (3, 7):
+        apart = pseudolikelihood.told_apart(docs.repartition(n))
+        assert apart.where("copy IS NULL").count() == 1002 and apart.count() == len(rows)
+        lots[n] = {(r["lot"], r["text"]): r["count"] for r in pseudolikelihood.dealt(apart, 8).groupBy("lot", "text").count().collect()}
+    assert lots[3] == lots[7]
+    assert all(300 < lots[3][lot, "the same words"] < 450 for lot in range(8))

@@ -13,9 +13,10 @@ neighbours.  Tokens are what white space separates, A-Z lower-cased.
    to lots of about ``LOT_TOKENS`` tokens; in every round each lot is trained in
    numpy from the same weights, and Spark averages the lots' weights by their
    tokens, in a tree.  Each round takes documents that no round before it took,
-   few in the first, and in the last the half that is left.  Lots and their order
-   follow from the documents alone, so the number of files or executors does not
-   change a score.
+   few in the first, and in the last the half that is left.  Rows equal in doc_id
+   and text are numbered and dealt by their number too, so any number of them is
+   spread.  Lots and their order follow from the documents alone, so the number of
+   files or executors does not change a score.
 3. Every document is scored in one map.  The shares of the ``HELD`` most frequent
    words are broadcast; the rarer ones of each document are joined with the
    table, where by their rarity no key is hot.
@@ -28,8 +29,8 @@ what is gathered follows the input; what is broadcast is of a bounded size.
 Texts are processed in runs of ``STEP`` tokens.
 
 Defined cases: null, empty and blank texts have no tokens and score 0; repeated
-rows are scored alike and those equal in doc_id and text are of one lot; words
-of over 64 bytes count by a digest; an empty table gives no rows.
+rows are scored alike; words of over 64 bytes count by a digest; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gathered, in_batches, saved, table
+from .mixing import numbered
 
 TOP, BUCKETS, CLASSES = 7680, 512, 64
 IDS = TOP + BUCKETS
@@ -292,6 +294,18 @@ def _by_lot(batches):
         yield from ((int(lots[a]), batch.column(1).slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``copy``: null for the first of rows equal in both, so hashes pass over it, and a number for each other."""
+    rows = numbered(docs.select("doc_id", "text", F.lit(None).cast("string").alias("source")))
+    return rows.select("doc.doc_id", "doc.text", F.nullif("again", F.lit(1)).alias("copy"))
+
+
+def dealt(docs: DataFrame, lots: int) -> DataFrame:
+    """lot, text, name of documents that are told apart."""
+    name = F.xxhash64("doc_id", "text", "copy")
+    return docs.select(F.pmod(F.xxhash64(name), F.lit(lots)).cast("int").alias("lot"), "text", name.alias("name"))
+
+
 def one_round(docs: DataFrame, words, weights: Weights, lots: int) -> Weights:
     """Every lot is trained on its documents from ``weights``; the mean of what they reach."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
@@ -305,10 +319,8 @@ def one_round(docs: DataFrame, words, weights: Weights, lots: int) -> Weights:
                 k = len(pieces)
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(range(k), pa.int32()), "part": pa.array([lot] * k, pa.int32()), "n": pa.array([n] * k, pa.int64()), "x": pa.array(pieces, pa.binary())})
 
-    name = F.xxhash64("doc_id", "text")
-    dealt = docs.select(F.pmod(F.xxhash64(name), F.lit(lots)).cast("int").alias("lot"), "text", name.alias("name"))
-    dealt = in_batches(dealt.repartition("lot").sortWithinPartitions("lot", "name")).select("lot", "text")
-    means = dealt.mapInArrow(train_lots, MEANS)
+    rows = in_batches(dealt(docs, lots).repartition("lot").sortWithinPartitions("lot", "name")).select("lot", "text")
+    means = rows.mapInArrow(train_lots, MEANS)
     for _ in range(max(1, math.ceil(math.log(max(2, lots), SPREAD)))):
         means = means.groupBy("piece", F.floor(F.col("part") / SPREAD).alias("of")).applyInArrow(_mean, MEANS)
     rows = means.orderBy("piece").collect()  # one set of weights
@@ -319,9 +331,9 @@ def trained(docs: DataFrame, words, rounds: tuple[int, ...] = ROUNDS) -> Weights
     """Weights after rounds over one of so many documents each: in the order of a hash, from the start again after the last."""
     weights = first_weights(words.value.frequency)
     tokens = float(words.value.frequency.sum())
-    slots, begin = math.lcm(*rounds), 0
+    slots, begin, docs = math.lcm(*rounds), 0, told_apart(docs)
     for share in rounds:
-        some = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text") - begin, F.lit(slots)) < slots // share)
+        some = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text", "copy") - begin, F.lit(slots)) < slots // share)
         begin += slots // share
         weights = one_round(some, words, weights, max(1, round(tokens / share / LOT_TOKENS)))
     return weights

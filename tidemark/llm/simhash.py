@@ -118,7 +118,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
     a, b = keys.alias("a"), keys.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
     same = (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k"))
-    return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    # a merge join, as Spark takes the exploded keys for no larger than the file of fingerprints and would broadcast them
+    return a.hint("merge").join(b.hint("merge"), same & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:

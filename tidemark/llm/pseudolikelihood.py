@@ -26,7 +26,7 @@ its class, so a token costs two small softmaxes instead of one over all ids.
 
 What leaves a task is its word counts and one set of weights for each lot, so
 what is gathered follows the input; what is broadcast is of a bounded size.
-Texts are processed in runs of ``STEP`` tokens.
+Texts are trained on in runs of ``STEP`` tokens and scored in runs of ``SCORED``.
 
 Defined cases: null, empty and blank texts have no tokens and score 0; repeated
 rows are scored alike; words of over 64 bytes count by a digest; an empty table
@@ -54,8 +54,12 @@ IDS = TOP + BUCKETS
 SIZE = IDS // CLASSES
 SIDE, EMBED, HIDDEN = 2, 8, 24
 STEP, RATE, SEED = 16_384, 0.2, 5
+#: Tokens scored at once.
+SCORED = 131_072
 #: Tokens whose choices are computed at once, so that they stay in the processor's cache.
 CACHED = 2048
+#: Logits that are no larger than this need no maximum taken off: their exponentials and sums are far from the ends of 32-bit floats.
+CALM = 70
 #: Share of the documents in each round, one of so many: each round takes those that follow by a hash, all of them together.
 ROUNDS = (16, 16, 8, 4, 2)
 SHAPES = {"embed": (IDS + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, SIZE), "bw": (CLASSES, SIZE)}
@@ -141,34 +145,64 @@ def windows(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([p[at + i] for i in range(-SIDE, SIDE + 1) if i], axis=1)
 
 
-def _log_of(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-probability of what each token chooses; columns are tokens, so that numpy works along them."""
-    found = np.empty(len(chosen))
-    for i in range(0, len(chosen), CACHED):
-        own = chosen[i : i + CACHED]
-        x = weights.T @ h[:, i : i + CACHED]
-        x += bias[:, None]
-        x -= x.max(axis=0)
-        at = x[own, np.arange(len(own))]
-        found[i : i + CACHED] = at - np.log(np.exp(x, out=x).sum(axis=0))
-    return found
-
-
-def _gradients_of(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, chosen: np.ndarray, share: float) -> Weights:
-    """Gradients of the weights, the bias and the hidden values for the negative log-probability of each choice, times ``share``."""
-    g = {"w": np.zeros_like(weights), "b": np.zeros_like(bias), "h": np.empty_like(h)}
-    for i in range(0, len(chosen), CACHED):
-        own, part = chosen[i : i + CACHED], h[:, i : i + CACHED]
-        x = weights.T @ part
-        x += bias[:, None]
-        x -= x.max(axis=0)
+def _joint(w: Weights) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights and biases of the classes, and of the ids in each, the bias as a last row; whether logits stay small.
+
+    Hidden values lie between -1 and 1, so the weights bound the logits.
+    """
+    of_class, of_word = np.concatenate([w["wc"], w["bc"][None]]), np.concatenate([w["ww"], w["bw"][:, None]], axis=1)
+    return of_class, of_word, max(np.abs(of_class).sum(axis=0).max(), np.abs(of_word).sum(axis=1).max()) <= CALM
+
+
+def _hidden(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the network sees around each token, and the hidden values with a last row of ones."""
+    x = w["embed"].take(around.ravel(), axis=0).reshape(len(around), -1)
+    h = np.ones((HIDDEN + 1, len(x)), x.dtype)
+    np.matmul(w["w1"].T, x.T, out=h[:-1])
+    h[:-1] += w["b1"][:, None]
+    np.tanh(h[:-1], out=h[:-1])
+    return x, h
+
+
+class Choices:
+    """One of ``size`` for each token, in blocks of CACHED tokens; columns are tokens, so that numpy works along them."""
+
+    def __init__(self, size: int, calm: bool, kind: np.dtype):
+        self.calm, self.room, self.ones, self.at = calm, np.empty(size * CACHED, kind), np.ones(size, kind), np.arange(CACHED)
+
+    def _chances(self, joint: np.ndarray, h: np.ndarray, own: np.ndarray):
+        """Of each token its logit, all exponentials, where its own lies among them, and their sum."""
+        n = len(own)
+        x = self.room[: len(self.ones) * n].reshape(-1, n)
+        np.matmul(joint.T, h, out=x)
+        place = own * n + self.at[:n]
+        logit = x.ravel().take(place)
+        if not self.calm:
+            top = x.max(axis=0)
+            x -= top
+            logit -= top
         np.exp(x, out=x)
-        x *= share / x.sum(axis=0)
-        x[own, np.arange(len(own))] -= share
-        g["w"] += part @ x.T
-        g["b"] += x.sum(axis=1)
-        g["h"][:, i : i + CACHED] = weights @ x
-    return g
+        return logit, x, place, self.ones @ x
+
+    def log_of(self, joint: np.ndarray, h: np.ndarray, chosen: np.ndarray, found: np.ndarray) -> None:
+        """Adds to ``found`` the log-probability of what each token chooses."""
+        for i in range(0, len(chosen), CACHED):
+            logit, _, _, total = self._chances(joint, h[:, i : i + CACHED], chosen[i : i + CACHED])
+            found[i : i + CACHED] += logit - np.log(total)
+
+    def gradients_of(self, joint: np.ndarray, h: np.ndarray, chosen: np.ndarray, share: float, of_h: np.ndarray) -> np.ndarray:
+        """Gradient of ``joint`` for the negative log-probability of each choice, times ``share``; adds that of the hidden values to ``of_h``."""
+        of_joint = 0.0
+        for i in range(0, len(chosen), CACHED):
+            part = h[:, i : i + CACHED]
+            _, x, place, total = self._chances(joint, part, chosen[i : i + CACHED])
+            x.ravel()[place] -= total
+            scale = share / total
+            of_joint = of_joint + (part * scale) @ x.T
+            more = joint[:-1] @ x
+            more *= scale
+            of_h[:, i : i + CACHED] += more
+        return of_joint
 
 
 def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -182,10 +216,13 @@ def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
 def log_probs(w: Weights, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     order, classes = _by_class(tokens)
     t = tokens[order]
-    h = np.tanh(w["w1"].T @ w["embed"][around[order]].reshape(len(t), -1).T + w["b1"][:, None])
-    found = _log_of(w["wc"], w["bc"], h, t // SIZE)
+    _, h = _hidden(w, around[order])
+    of_class, of_word, calm = _joint(w)
+    found, own = np.zeros(len(t)), t % SIZE
+    Choices(CLASSES, calm, h.dtype).log_of(of_class, h, t // SIZE, found)
+    words = Choices(SIZE, calm, h.dtype)
     for c, part in classes:
-        found[part] += _log_of(w["ww"][c], w["bw"][c], h[:, part], t[part] % SIZE)
+        words.log_of(of_word[c], h[:, part], own[part], found[part])
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -195,23 +232,20 @@ def gradients(w: Weights, tokens: np.ndarray, around: np.ndarray) -> Weights:
     """Of the mean negative log-probability."""
     order, classes = _by_class(tokens)
     t, at, share = tokens[order], around[order], w["b1"].dtype.type(1 / len(tokens))
-    x = w["embed"][at].reshape(len(t), -1)
-    h = np.tanh(w["w1"].T @ x.T + w["b1"][:, None])
-    of = _gradients_of(w["wc"], w["bc"], h, t // SIZE, share)
-    g = {"wc": of["w"], "bc": of["b"], "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-    dh = of["h"]
+    x, h = _hidden(w, at)
+    of_class, of_word, calm = _joint(w)
+    dh, own = np.zeros_like(h[:-1]), t % SIZE
+    joint = Choices(CLASSES, calm, h.dtype).gradients_of(of_class, h, t // SIZE, share, dh)
+    g = {"wc": joint[:-1], "bc": joint[-1], "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+    words = Choices(SIZE, calm, h.dtype)
     for c, part in classes:
-        of = _gradients_of(w["ww"][c], w["bw"][c], h[:, part], t[part] % SIZE, share)
-        g["ww"][c], g["bw"][c] = of["w"], of["b"]
-        dh[:, part] += of["h"]
-    dh *= 1 - h * h
+        joint = words.gradients_of(of_word[c], h[:, part], own[part], share, dh[:, part])
+        g["ww"][c], g["bw"][c] = joint[:-1], joint[-1]
+    dh *= 1 - h[:-1] * h[:-1]
     g["w1"], g["b1"] = (dh @ x).T, dh.sum(axis=1)
-    dx = (dh.T @ w["w1"].T).reshape(-1, EMBED)
-    flat_at = at.ravel()
-    by = np.argsort(flat_at.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.diff(flat_at[by], prepend=-1))
-    g["embed"] = np.zeros((IDS + 1, EMBED), dx.dtype)
-    g["embed"][flat_at[by[first]]] = np.add.reduceat(dx[by], first)
+    dx = (w["w1"] @ dh).reshape(2 * SIDE, EMBED, -1)  # sides, numbers of an embedding, tokens
+    seen = at.T.ravel().astype(np.intp)
+    g["embed"] = np.stack([np.bincount(seen, dx[:, k].ravel(), IDS + 1) for k in range(EMBED)], axis=1).astype(dx.dtype)
     return g
 
 
@@ -222,8 +256,11 @@ def train(w: Weights, runs, rate: float = RATE) -> tuple[Weights, int]:
     seen = 0
     for tokens, around in runs:
         for k, g in gradients(w, tokens, around).items():
-            sums[k] += g * g
-            w[k] -= rate * g / np.sqrt(sums[k])
+            sums[k] += (step := g * g)
+            np.sqrt(sums[k], out=step)
+            np.divide(g, step, out=step)
+            step *= rate
+            w[k] -= step
         seen += len(tokens)
     return w, seen
 
@@ -351,8 +388,8 @@ def scored(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS, held_words: int =
         for batch in batches:
             tokens, ends, sums, rare = words.value.tokens(batch.column(1))
             around, found = windows(tokens, ends), np.zeros(len(tokens) + 1)
-            for i in range(0, len(tokens), STEP):
-                found[i + 1 : i + 1 + STEP] = log_probs(held.value, tokens[i : i + STEP], around[i : i + STEP])
+            for i in range(0, len(tokens), SCORED):
+                found[i + 1 : i + 1 + SCORED] = log_probs(held.value, tokens[i : i + SCORED], around[i : i + SCORED])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(sums + np.diff(np.cumsum(found)[ends])), rare], ["doc_id", "n_tokens", "part", "rare"])
 
     rows = in_batches(docs).mapInArrow(score, "doc_id long, n_tokens long, part double, rare array<binary>")
